@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, html_extract, mixing, quality, sharding, simhash, toxicity
+from riskloom.llm import decontaminate, html_extract, mixing, quality, secret_scan, sharding, simhash, toxicity
 from riskloom.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", F.length(text).cast("long").alias("n_code_points"), F.sha2(text, 256).alias("text_sha256"), F.element_at(F.split("shard", "/"), -1).alias("shard"), "shard_rows", "shard_bytes", "shard_tier", "manifest_version")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratios = secret_scan.train(secret_scan.labelled_samples(spark))
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), ratios))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -48,7 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_sharding, op4_quality, op5_html, op7_simhash, op8_mixing, op9_decontamination, op10_toxicity)
+    own = (op1_sharding, op2_secrets, op4_quality, op5_html, op7_simhash, op8_mixing, op9_decontamination, op10_toxicity)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
