@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, html_extract, mixing, quality, secret_scan, sharding, simhash, toxicity
+from riskloom.llm import decontaminate, html_extract, mixing, pii, quality, secret_scan, sharding, simhash, toxicity
 from riskloom.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -53,7 +57,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_sharding, op2_secrets, op4_quality, op5_html, op7_simhash, op8_mixing, op9_decontamination, op10_toxicity)
+    own = (op1_sharding, op2_secrets, op4_quality, op5_html, op6_pii, op7_simhash, op8_mixing, op9_decontamination, op10_toxicity)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
