@@ -107,7 +107,7 @@ def _shape(text: str) -> str:
 
 def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[str] | None:
     """Features of the segment of tokens i to j - 1; None if it can't be an entity: without enough digits or an @, or
-    with ends that an entity never has."""
+    with ends that an entity never has, in the middle of a word or number among them."""
     a, b = tokens[i][0], tokens[j - 1][1]
     span = text[a:b]
     at = "@" in span or "[at]" in span.lower() or "(at)" in span.lower()
@@ -119,8 +119,9 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[s
     before, after = text[a - 1 : a], text[b : b + 1]
     words = [text[x:y].lower() for x, y in tokens[max(0, i - 4) : i]]
     groups = re.findall(r"[0-9]+", span)
-    glued = (before.isalnum() and before != "") or (after.isalnum() and after != "")
-    out = ["bias", f"digits={min(len(digits), 20)}", f"groups={min(len(groups), 6)}", f"shape={_shape(span)}", f"glued={glued}"]
+    if before.isalnum() or after.isalnum():
+        return None
+    out = ["bias", f"digits={min(len(digits), 20)}", f"groups={min(len(groups), 6)}", f"shape={_shape(span)}"]
     out += [f"cue={kind}" for kind in sorted({_CUE_OF[w] for w in words if w in _CUE_OF})]
     out += [f"first={'9' if span[0].isdigit() else 'a' if span[0].isalpha() else span[0]}", f"signs={''.join(sorted(set(re.sub(r'[\w\s]', '', span))))[:6]}"]
     if before in "-./,:#$€£%_" and before or after in "-/%_$€£" and after:
