@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, html_extract, mixing, pii, quality, secret_scan, sharding, simhash, toxicity
+from riskloom.llm import decontaminate, html_extract, katz, mixing, pii, quality, secret_scan, sharding, simhash, toxicity
 from riskloom.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), ratios))
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -57,7 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_sharding, op2_secrets, op4_quality, op5_html, op6_pii, op7_simhash, op8_mixing, op9_decontamination, op10_toxicity)
+    own = (op1_sharding, op2_secrets, op3_katz, op4_quality, op5_html, op6_pii, op7_simhash, op8_mixing, op9_decontamination, op10_toxicity)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
