@@ -1 +1 @@
-"""Part of riskloom."""
+"""Column functions: cleaning, scalar expressions, pseudonyms."""

@@ -1 +1 @@
-"""Part of riskloom."""
+"""Operators on DataFrames: features, validation, graph, embeddings, models, ranking."""

@@ -13,12 +13,13 @@ import tempfile
 import uuid
 from collections import defaultdict, deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CUT_ROUNDS = 8
-#: Edges up to which a loop runs in one partition, whose joins and sums need no shuffle.
+#: Edges up to which propagation runs in one task, as arrays: a hundred rounds of joins would cost seconds of scheduling.
 SMALL_EDGES = 100_000
 #: Most nodes and edges of a graph that betweenness takes: its adjacency is copied to each task.
 BETWEENNESS_NODES, BETWEENNESS_EDGES = 10_000, 2_000_000
@@ -56,6 +57,35 @@ def restart_vector(graph: DataFrame, seeds: DataFrame, normalise: bool = True, u
     return marked.join(F.broadcast(totals)).select("node_id", F.when(F.col("k_") > 0, F.try_divide("seed_", "k_")).otherwise(none).alias("restart"))
 
 
+def _propagate_small(steps: DataFrame, restart: DataFrame, start: DataFrame | None, damping: float, rounds: int, tolerance: float | None, norm: str, adopt_last: bool) -> DataFrame:
+    """:func:`propagate` of a graph whose size was checked, in one task."""
+    nodes = restart.withColumn("start", F.col("restart")) if start is None else restart.join(start.withColumnRenamed("score", "start"), "node_id", "left").fillna(0.0, ["start"])
+    rows = steps.select("src", "dst", F.col("part").alias("x"), F.lit(0.0).alias("start")).union(nodes.select("node_id", F.lit(None).cast("string"), "restart", "start"))
+
+    def run(batches):
+        table = pa.Table.from_batches(list(batches))
+        if not table.num_rows:
+            return
+        src, dst, x, first = (table.column(k).to_pylist() for k in range(4))
+        own = sorted((s, r, f) for s, d, r, f in zip(src, dst, x, first, strict=True) if d is None)
+        names = [s for s, *_ in own]
+        place = {s: k for k, s in enumerate(names)}
+        edges = [(place[s], place[d], p) for s, d, p in zip(src, dst, x, strict=True) if d is not None]
+        a, b = np.array([e[0] for e in edges], dtype=np.int64), np.array([e[1] for e in edges], dtype=np.int64)
+        part, back, score = np.array([e[2] for e in edges]), np.array([r for _, r, _ in own]), np.array([f for *_, f in own])
+        for _ in range(rounds):
+            after = damping * np.bincount(b, weights=score[a] * part, minlength=len(names)) + (1 - damping) * back
+            gap = after - score
+            moved = np.abs(gap).sum() / len(names) if norm == "l1" else np.sqrt((gap * gap).sum())
+            if tolerance is not None and moved < tolerance:
+                score = after if adopt_last else score
+                break
+            score = after
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(score)], names=["node_id", "score"])
+
+    return rows.coalesce(1).mapInArrow(run, "node_id string, score double")
+
+
 def propagate(graph: DataFrame, restart: DataFrame, damping: float, start: DataFrame | None = None, mode: str = "push", self_loops: bool = False, rounds: int = 20, tolerance: float | None = None, norm: str = "l1", adopt_last: bool = True) -> DataFrame:
     """(node_id, score) after rounds of ``score = damping * spread(score) + (1 - damping) * restart``.
 
@@ -72,8 +102,7 @@ def propagate(graph: DataFrame, restart: DataFrame, damping: float, start: DataF
     steps = written(graph.join(totals, F.col(share) == F.col("t_")).select("src", "dst", (F.col("weight") / F.col("total_")).alias("part")), "steps")
     restart = written(restart, "restart")
     if steps.count() <= SMALL_EDGES:
-        steps, restart = steps.coalesce(1), restart.coalesce(1)
-        start = start.coalesce(1) if start is not None else None
+        return _propagate_small(steps, restart, start, damping, rounds, tolerance, norm, adopt_last)
     state = start if start is not None else restart.select("node_id", F.col("restart").alias("score"))
     n = restart.count() if tolerance is not None else 0
     for k in range(1, rounds + 1):
@@ -223,8 +252,6 @@ def eigenvector(edges: DataFrame, rounds: int = 50) -> DataFrame:
         before, left = left, live.count()
     if not left:
         return nodes.withColumn("eigenvector", F.lit(0.0))
-    if simple.count() <= SMALL_EDGES:
-        simple, nodes = simple.coalesce(1), nodes.coalesce(1)
     state = nodes.withColumn("x", F.lit(1.0))
     for k in range(rounds):
         into = simple.join(state, F.col("src") == F.col("node_id")).groupBy("dst").agg(F.sum("x").alias("in_"))
@@ -280,7 +307,6 @@ def core_number(graph: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """(node_id, core): each node's estimate falls from its degree to the h-index of its neighbours' estimates until none
     changes. Neighbours are counted by capped estimate before the h-index, so a hub needs no list of its neighbours."""
     graph = written(graph.where("src <> dst").select("src", "dst").distinct(), "simple")
-    graph = graph.coalesce(1) if graph.count() <= SMALL_EDGES else graph
     state = written(graph.groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("core")), "core")
     down = Window.partitionBy("node_id").orderBy(F.desc("e")).rowsBetween(Window.unboundedPreceding, 0)
     for _ in range(most_rounds):
@@ -313,9 +339,7 @@ def communities(graph: DataFrame, levels: int = 4, rounds: int = 12) -> DataFram
     Communities then become the nodes of the next level. Labels are the smallest node ids."""
     spark = graph.sparkSession
     graph = written(graph.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "graph")
-    total, n_edges = graph.agg(F.sum("weight"), F.count(F.lit(1))).first()
-    total = total or 0.0
-    graph = graph.coalesce(1) if n_edges <= SMALL_EDGES else graph
+    total = graph.agg(F.sum("weight")).first()[0] or 0.0
     whole = written(vertices(graph).withColumn("community", F.col("node_id")), "parts")
     if not total:
         return whole

@@ -163,6 +163,7 @@ def oracle_sql() -> dict[str, str]:
         "clustering_coefficient": f"{BASE},{GRAPH}, d as (select src, count(*) as d from graph group by 1), t as (select a.src as u, count(*) / 2 as t from graph a join graph b on a.src = b.src and a.dst <> b.dst join graph c on c.src = a.dst and c.dst = b.dst group by 1) select src as node_id, round(coalesce(2.0::double * t / nullif(d * (d - 1), 0), 0), 9) as clustering from d left join t on u = src",
         "ego_network_size": f"{BASE},{GRAPH} select npi as node_id, 1 + count(src) as ego_size from providers left join graph on npi = src group by 1",
         "distance_to_seeds": f"{BASE},{GRAPH}, bfs as (select node_id, 0 as d from seeds where node_id < '0000000010' union select g.dst, b.d + 1 from bfs b join graph g on g.src = b.node_id where b.d < 12), best as (select node_id, min(d) as d from bfs group by 1) select npi as node_id, cast(coalesce(d, case when npi < '0000000010' and npi in (select entity_npi from exclusions) then 0 end, -1) as bigint) as distance from providers left join best on npi = node_id",
+        "cooccurrence": "with p as (select o_custkey as c, o_orderpriority as x, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey, o_orderpriority) as i from orders) select a.x as a, b.x as b, round(sum(1.0::double / abs(a.i - b.i)), 6) as weight from p a join p b on a.c = b.c and a.i <> b.i and abs(a.i - b.i) <= 3 group by 1, 2",
         "pr_curve": f"with {_scored()},{_points()} select score as threshold, round(cast(pu as double) / nu, 9) as precision, round(coalesce(cast(pu as double) / nullif(pa, 0), 1), 9) as recall from at_scored union all select null, 1, 0",
         "average_precision": f"with {_scored()},{_points()} select {AP} as average_precision from at_scored",
         "roc_auc": f"with {_scored()},{_points()} select {AUC} as roc_auc from at_scored",

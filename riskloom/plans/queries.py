@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import columns, privacy
-from riskloom.operators import claim_features, graph_algorithms, graph_build, ranking, validation
+from riskloom.operators import claim_features, embeddings, graph_algorithms, graph_build, models, ranking, validation
 from riskloom.sources import adapters
 
 SALT = "public test salt"
@@ -353,5 +353,83 @@ def model_comparison(spark, sf):
     return shaped(df.select("model", "auc_pr", "auc_roc", "precision_at_k", "recall_at_k", "is_best"))
 
 
+# -- embeddings and models: rows only, or checked by their invariants in the tests
+
+
+@query
+def cooccurrence(spark, sf):
+    rows = spark.read.parquet(f"{sf}/orders.parquet").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_orderpriority"))).alias("o"))
+    paths = rows.select(F.col("o_custkey").alias("walk_id"), F.transform("o", lambda x: x["o_orderpriority"]).alias("path"))
+    return shaped(embeddings.cooccurrence(paths, 3), 6)
+
+
+@query
+def node2vec(spark, sf):
+    return embeddings.node2vec(_projection(spark, sf), 16, 8, 5, window=3)
+
+
+@query
+def spectral(spark, sf):
+    return embeddings.spectral(_projection(spark, sf), 8)
+
+
+@query
+def structural_embedding(spark, sf):
+    return embeddings.structural(_projection(spark, sf))
+
+
+@query
+def metapath_embedding(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    return embeddings.metapath(nodes.where("node_type in ('Provider', 'BankAccount')"), edges.where("edge_type = 'SHARES_BANK_ACCOUNT'"), (("Provider", "BankAccount", "Provider"),), 8, 5, 10)
+
+
+@query
+def graph_autoencoder(spark, sf):
+    return embeddings.autoencoder(_projection(spark, sf), 32, 8, epochs=20)
+
+
+def _labelled(spark, sf):
+    features = all_claim_features(spark, sf).withColumnRenamed("provider_npi", "node_id")
+    seeds = _seeds(spark, sf).distinct().withColumn("label", F.lit(1))
+    return graph_algorithms.written(features.join(seeds, "node_id", "left").fillna(0, ["label"]), "labelled")
+
+
+@query
+def risk_scores_gbt(spark, sf):
+    df = _labelled(spark, sf)
+    return models.score(models.train(df, "gbt", trees=10), df)
+
+
+@query
+def risk_scores_forest(spark, sf):
+    df = _labelled(spark, sf)
+    return models.score(models.train(df, "random_forest", trees=20), df)
+
+
+@query
+def risk_scores_logistic(spark, sf):
+    df = _labelled(spark, sf)
+    return models.score(models.train(df, "logistic"), df)
+
+
+@query
+def isolation_forest(spark, sf):
+    return models.isolation_forest(_labelled(spark, sf).drop("label"), trees=25)
+
+
+@query
+def explanations(spark, sf):
+    df = _labelled(spark, sf)
+    return models.explain(models.train(df, "random_forest", trees=10), df, 5).withColumn("kind", models.feature_kind(F.col("feature")))
+
+
+@query
+def graph_network(spark, sf):
+    features = _labelled(spark, sf).select("node_id", F.array(F.log1p("total_claims"), "weekend_ratio", "high_value_ratio").alias("vec"))
+    weights = models.layer_weights([3, 8, 4], ["CO_BILLS_WITH"])
+    return models.graph_forward(features, _co_billing(spark, sf).select("src", "dst", "edge_type"), weights)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

@@ -1 +1 @@
-"""Part of riskloom."""
+"""Readers, writers, synthetic tables, and the mapping of the test tables."""

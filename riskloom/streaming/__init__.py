@@ -1 +1 @@
-"""Part of riskloom."""
+"""No operator here streams: every input is a finished table. Kept for sources that arrive continuously."""
