@@ -90,7 +90,7 @@ class ToxicityModel:
             return []
         out: list[float] = []
         found: list[float] = []  # of the clause so far
-        addressed = reported = False
+        addressed = reported = quoted = False
         negation = intent = harm = 0
 
         def close() -> None:
@@ -104,13 +104,15 @@ class ToxicityModel:
             if piece in _SENTENCE_END:
                 close()
                 reported = False
+                if piece == "\n":
+                    quoted = False
             elif piece in _CLAUSE_END:
                 close()
             elif piece in "\"“”«»":
-                reported = not reported
+                quoted = not quoted
             else:
                 word = _plain(piece)
-                damp = (NEGATED if negation else 1.0) * (REPORTED if reported else 1.0)
+                damp = (NEGATED if negation else 1.0) * (REPORTED if reported or quoted else 1.0)
                 negation, intent, harm = max(0, negation - 1), max(0, intent - 1), max(0, harm - 1)
                 if word in NEGATIONS:
                     negation = NEGATION_WORDS
