@@ -65,5 +65,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+MIXING_SQL = f"""
+with sized as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
+  cast('0x' || substr(md5('mix{mixing.SEED}:' || doc_id), 1, 15) as bigint) as place from documents),
+totals as (select source, sum(size) as source_size from sized group by source),
+ranked as (select *, (row_number() over (order by source is null, source) - 1) % 3 as k from totals),
+weighed as (select source, source_size, case k when 0 then 5 when 1 then 2 else 1 end as weight, {mixing.MOST_REPEATS} * source_size as cap from ranked),
+ordered as (select *, row_number() over (order by cast(cap as double) / weight, source is null, source) as nr from weighed),
+summed as (select *, coalesce(sum(cap) over (order by nr rows between unbounded preceding and 1 preceding), 0) as caps_before,
+  coalesce(sum(weight) over (order by nr rows between unbounded preceding and 1 preceding), 0) as weights_before, sum(source_size) over () as all_size from ordered),
+capped as (select *, cast(cap as double) / weight <= cast(all_size - caps_before as double) / ((select sum(weight) from weighed) - weights_before) as is_full from summed),
+level as (select cast(max(all_size) - coalesce(sum(case when is_full then cap end), 0) as double) / sum(case when is_full then 0 else weight end) as rate from capped),
+goals as (select source, cast(source_size as bigint) as source_size, case when is_full then cast(cap as double) else weight * rate end as target from capped, level),
+cut as (select *, coalesce(floor(target / nullif(source_size, 0)), 0) as passes, target - coalesce(floor(target / nullif(source_size, 0)), 0) * source_size as rest from goals),
+running as (select s.doc_id, s.source, s.size, s.place, c.source_size, c.target, c.passes, c.rest,
+  sum(s.size) over (partition by s.source order by s.place, s.doc_id rows unbounded preceding) as upto from sized s join cut c on s.source is not distinct from c.source),
+beyonds as (select *, count_if(upto > rest) over (partition by source order by place, doc_id rows unbounded preceding) > 0 as beyond from running),
+lacks as (select *, rest - max(case when beyond then 0 else upto end) over (partition by source) as lack from beyonds),
+best as (select source, doc_id, row_number() over (partition by source order by abs(size - lack), place, doc_id) as nr from lacks where beyond and abs(size - lack) < lack)
+select l.doc_id, l.size, l.source_size, l.target, cast(l.size * (l.passes + case when not l.beyond or b.nr is not null then 1 else 0 end) as bigint) as taken
+from lacks l left join best b on b.nr = 1 and b.doc_id = l.doc_id and b.source is not distinct from l.source
+"""
+
+DECONTAMINATION_SQL = f"""
+with doc_words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+item_words as (select item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark where item_id is not null),
+items as (select item_id, least(len(w), {decontaminate.NGRAM_WORDS}) as n, unnest(generate_series(1, greatest(len(w) - {decontaminate.NGRAM_WORDS} + 1, 1))) as i, w from item_words where len(w) > 0),
+windows as (select distinct cast(item_id as varchar) as item, n, list_aggregate(w[i:i + n - 1], 'string_agg', ' ') as g from items),
+lengths as (select distinct n from windows),
+places as (select doc_id, n, unnest(generate_series(1, len(w) - n + 1)) as i, w from doc_words, lengths where len(w) >= n),
+grams as (select doc_id, n, i, list_aggregate(w[i:i + n - 1], 'string_agg', ' ') as g from places),
+met as (select doc_id, i, grams.n, item from grams join windows using (g)),
+hits as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(generate_series(i, i + n - 1)) as p from met) group by 1),
+found as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids from (select distinct doc_id, item from met) group by 1)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from doc_words left join hits using (doc_id) left join found using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The rest is beyond DuckDB: XXH64, crc32, learned models, markup and files; those are tested in tests/llm."""
+    return {"op8_mixing": MIXING_SQL, "op9_decontamination": DECONTAMINATION_SQL}
