@@ -173,4 +173,9 @@ def oracle_sql() -> dict[str, str]:
         "risk_report": f"with {_scored()}, t as (select *, row_number() over (order by score desc, id) as rank from scored) select id as provider_id, round(score, 9) as risk_score, cast(label as bigint) as is_fraud, rank, cast(sum(label) over (order by rank) as bigint) as cumulative_fraud, round(cast(sum(label) over (order by rank) as double) / rank, 9) as cumulative_precision from t where rank <= {K}",
         "model_comparison": "with " + ", ".join(f"{_scored(b, f'm{b}')},{_points(f'm{b}')}" for b in (3, 7, 9)) + ", every as (" + " union all ".join(f"select 'model_{b}' as model, {AP} as auc_pr, {AUC} as auc_roc, round({_hits(f'm{b}')} / {K}.0::double, 9) as precision_at_k, round({_hits(f'm{b}')} / cast((select sum(label) from m{b}) as double), 9) as recall_at_k from at_m{b}" for b in (3, 7, 9)) + ") select *, row_number() over (order by auc_pr desc, model) = 1 as is_best from every",
     }
+    wide = out["model_comparison"]
+    names = ("auc_pr", "auc_roc", "precision_at_k", "recall_at_k")
+    out["metrics_long"] = f"with w as ({wide}) " + " union all ".join(f"select model, '{m}' as metric, {m} as value from w" for m in names)
+    p = "greatest(least(score, 1 - 1e-12), 1e-12)"
+    out["focal_loss"] = f"with {_scored()}, p as (select id, label, case when label = 1 then {p} else 1 - {p} end as pt from scored) select id, round(case when label = 1 then 0.25::double else 0.75::double end * pow(1 - pt, 2) * -ln(pt), 9) as loss from p"
     return out | {f"edges_{k}": f"{BASE} {v}" for k, v in EDGE_SQL.items()}

@@ -431,5 +431,24 @@ def graph_network(spark, sf):
     return models.graph_forward(features, _co_billing(spark, sf).select("src", "dst", "edge_type"), weights)
 
 
+@query
+def link_prediction(spark, sf):
+    graph = _projection(spark, sf)
+    return models.pretrain_links(graph, graph_algorithms.written(embeddings.spectral(graph, 8), "spectral"))[1]
+
+
+@query
+def focal_loss(spark, sf):
+    rows = _scored(spark, sf).select("id", models.focal_loss(F.col("label"), F.col("score")).alias("loss"))
+    return shaped(rows)
+
+
+@query
+def metrics_long(spark, sf):
+    from riskloom.sources.tables import long_metrics
+
+    return shaped(long_metrics(model_comparison(spark, sf).drop("is_best")))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
