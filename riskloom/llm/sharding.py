@@ -3,7 +3,8 @@
 A store is a folder: ``data/`` with immutable Parquet shards, ``manifest/v<N>`` with one committed list of live shards for
 each version. ``append`` writes arrivals as small shards. ``compact`` puts the live shards into size tiers, each
 ``TIER_FACTOR`` times the last, cuts each tier's shards in order of arrival into runs of about the target size, and writes
-each run of two shards or more as one file. A version is committed by renaming a finished manifest to a name that must not
+each run of two shards or more as one file. Shards of half the target size or more are done, so rows are rewritten once for
+each tier that they rise at most. A version is committed by renaming a finished manifest to a name that must not
 exist yet, which is atomic; a reader or a crash sees the old list or the new one. ``vacuum`` deletes files that no
 version from the given one on lists. Everything runs as DataFrame operations; the driver handles paths of shards only.
 """
@@ -66,8 +67,8 @@ class ShardStore:
         return listed.select("shard", "rows", "bytes", self._tier(F.col("bytes")).alias("tier"), F.lit(born).cast("long").alias("born"))
 
     def _tier(self, size):
-        """0: the target size or more; each further tier is up to ``TIER_FACTOR`` times smaller."""
-        return F.greatest(F.lit(0), F.ceil(F.log(float(TIER_FACTOR), F.lit(float(self.target_bytes)) / size))).cast("int")
+        """0: half the target size or more, which is not merged again; each further tier is ``TIER_FACTOR`` times smaller."""
+        return F.greatest(F.lit(0), F.ceil(F.log(float(TIER_FACTOR), F.lit(self.target_bytes / 2) / size))).cast("int")
 
     def append(self, arrivals: DataFrame) -> int:
         """Writes arrivals as small shards, at least one for each partition, and commits them. Returns the version."""
@@ -100,7 +101,7 @@ class ShardStore:
             rows = read.select(F.struct(*names).alias("row"), F.col("_metadata.file_path").alias("from_shard"))
             rows = rows.join(F.broadcast(plan) if len(merged) <= 10_000 else plan, F.col("from_shard") == F.col("plan_shard"))
             folder = f"{self.path}/data/c{base + 1:09d}-{uuid.uuid4().hex[:8]}"
-            rows = rows.select("row", F.col("plan_run").alias("run__")).repartition(count, "run__")
+            rows = rows.select("row", F.col("plan_run").alias("run__")).repartitionById(count, F.col("run__").cast("int"))
             rows.select("row.*", "run__").write.option("compression", "zstd").partitionBy("run__").parquet(folder)
             rest = live.join(plan, F.col("shard") == F.col("plan_shard"), "left_anti")
             base = self.commit(rest.unionByName(self._listed(folder, base + 1)), base)
@@ -110,9 +111,8 @@ class ShardStore:
         """The rows of a version; ``with_shard`` adds the path of the shard as ``shard``."""
         shards = [r.shard for r in self.manifest(version).select("shard").collect()]
         if not shards:
-            raise ValueError("the store has no version yet")
-        schema = self.spark.read.parquet(shards[0]).schema
-        rows = self.spark.read.schema(schema).parquet(*shards)
+            raise ValueError("the store has no rows")
+        rows = self.spark.read.schema(self.spark.read.parquet(shards[0]).schema).parquet(*shards)
         return rows.select("*", F.col("_metadata.file_path").alias("shard")) if with_shard else rows
 
     def vacuum(self, oldest: int | None = None) -> int:
@@ -147,6 +147,9 @@ def shard_documents(docs: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFr
     store.append(docs)
     version = store.compact()
     store.vacuum()
+    if store.manifest(version).isEmpty():
+        empty = docs.limit(0).select(*docs.columns, *[F.lit(None).cast(t).alias(c) for c, t in zip(added, ("string", "long", "long", "int", "long"), strict=True)])
+        return spark.createDataFrame([], empty.schema)
     listed = store.manifest(version).select("shard", F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), F.col("tier").alias("shard_tier"))
     rows = store.read(version, with_shard=True).join(listed, "shard")
     return rows.select(*docs.columns, *added[:4], F.lit(version).cast("long").alias("manifest_version"))
