@@ -144,7 +144,7 @@ def features(found: list[float]) -> tuple[float, float, float]:
     return 1.0, math.log1p(sum(found)), min(2.0, max(found, default=0.0))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int = 50) -> np.ndarray:
     """Newton steps to the ridge-penalised maximum likelihood."""
     w = np.zeros(x.shape[1])
     penalty = ridge * np.eye(x.shape[1])
