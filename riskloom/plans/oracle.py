@@ -129,7 +129,7 @@ def oracle_sql() -> dict[str, str]:
     out = {
         "clean_claims": f"{BASE} select claim_id, provider_npi, date_of_service, round(cast(cast(billed_amount as decimal(18,2)) as double), 4) as billed_amount, 0.0::double as paid_amount, procedure_code from claims",
         "date_parts": f"{BASE} select claim_id, cast(isodow(date_of_service) - 1 as bigint) as day_of_week, cast(month(date_of_service) as bigint) as month, cast(quarter(date_of_service) as bigint) as quarter, cast(year(date_of_service) as bigint) as year, cast(isodow(date_of_service) >= 6 as bigint) as is_weekend, strftime(date_of_service, '%Y-%m-%d') as day from claims",
-        "code_lookup": f"{BASE} select procedure_code, cast({LEVEL} as bigint) as level, cast({MINUTES} as bigint) as minutes, count(*) as n from claims group by all",
+        "code_lookup": f"{BASE} select procedure_code, cast(coalesce({LEVEL}, 0) as bigint) as level, cast({MINUTES} as bigint) as minutes, count(*) as n from claims group by all",
         "scaled_risk": "select s_suppkey as id, round(x, 9) as scaled, round(1 / (1 + exp(-x)), 9) as risk from (select s_suppkey, (s_acctbal - min(s_acctbal) over ()) / (max(s_acctbal) over () - min(s_acctbal) over () + 1e-10) as x from supplier)",
         "hash_columns": f"{BASE} select npi, provider_name, {_hmac('npi')} as npi_hash, {_hmac('provider_name')} as provider_name_hash from providers",
         "entity_id": f"{BASE} select npi, {_hmac('''npi || '|' || specialty''')} as entity_id from providers",

@@ -62,7 +62,7 @@ def date_parts(spark, sf):
 @query
 def code_lookup(spark, sf):
     rows = _claims(spark, sf, "procedure_code")
-    return shaped(rows.groupBy("procedure_code", columns.em_level(F.col("procedure_code")).alias("level"), columns.minutes(F.col("procedure_code")).alias("minutes")).agg(F.count(F.lit(1)).alias("n")))
+    return shaped(rows.groupBy("procedure_code", F.coalesce(columns.em_level(F.col("procedure_code")), F.lit(0)).alias("level"), columns.minutes(F.col("procedure_code")).alias("minutes")).agg(F.count(F.lit(1)).alias("n")))
 
 
 @query

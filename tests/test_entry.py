@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -16,7 +17,7 @@ SLOW = {"node2vec", "louvain", "eigenvector", "metapath_embedding", "explanation
 
 def plain(df):
     df = df[sorted(df.columns)]
-    return sorted((tuple(None if v is None or v != v else repr(float(v) + 0.0) if isinstance(v, float) else str(v) for v in row) for row in df.itertuples(index=False)), key=str)
+    return sorted((tuple(None if pd.isna(v) else repr(float(v) + 0.0) if isinstance(v, float) else str(v) for v in row) for row in df.itertuples(index=False)), key=str)
 
 
 @pytest.fixture(scope="module")
