@@ -180,7 +180,7 @@ for _kind, _columns in EDGE_COLUMNS.items():
 
 
 def _graph(spark, sf):
-    claims = _claims(spark, sf, "beneficiary_id", "facility_id", "referring_provider_npi")
+    claims = graph_algorithms.written(_claims(spark, sf, "beneficiary_id", "facility_id", "referring_provider_npi"), "claims")
     return graph_build.build_graph(adapters.providers(spark, sf), claims, adapters.exclusions(spark, sf), adapters.ownership(spark, sf), adapters.bank_accounts(spark, sf), window_days=GRAPH_WINDOW)
 
 
