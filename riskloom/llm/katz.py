@@ -10,7 +10,7 @@ what its seen words leave, over the unigram mass of all words not seen after it.
 Tables, all in the shared folder: chunks of encoded text; word counts; bigram counts, one row of arrays for each bucket; context
 weights. Nothing of the corpus is held by the driver but sums, counts of counts and the at most ``HOT_PARTS`` words with more
 than 1 / ``HOT_PARTS`` of all tokens. A chunk asks each bucket for the total counts of its own distinct bigrams, and gets
-them in the order asked; so what is shuffled is distinct bigrams of a few million tokens at a time, not tokens. Buckets hold
+them in the order asked; so what is shuffled is distinct bigrams of a million tokens at a time, not tokens. Buckets hold
 whole words, with all their bigrams; those of hot words are dealt by bigram. Unseen bigrams are joined to their contexts'
 weights at the end.
 
@@ -23,6 +23,7 @@ import gc
 import math
 from array import array
 from collections import defaultdict
+from functools import cached_property
 from itertools import count
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import ascii_words, shared_dir, slices, written
 
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 1_000_000
 BUCKET_TOKENS = 2_000_000
 LEAST_BUCKETS = 8
 GT_COUNTS = 5
@@ -165,10 +166,13 @@ class Chunk:
         self.held, self.lens, self.w = _unpack(held, "u1"), _unpack(lens, "<i4"), _unpack(stream, "<i4").astype(np.int64)
         self.hashes = np.append(_unpack(vocab, "<u8"), np.uint64(word_hash(START)))
         self.start = len(self.hashes) - 1
-        self.firsts = np.cumsum(self.lens, dtype=np.int64) - self.lens
-        self.h = np.empty_like(self.w)
-        self.h[1:] = self.w[:-1]
-        self.h[self.firsts] = self.start
+
+    @cached_property
+    def h(self) -> np.ndarray:
+        out = np.empty_like(self.w)
+        out[1:] = self.w[:-1]
+        out[np.cumsum(self.lens, dtype=np.int64) - self.lens] = self.start
+        return out
 
     def bigrams(self, buckets: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(w, h, bucket) of the distinct bigrams, by bucket, then w, then h, and the place of each token's bigram."""
