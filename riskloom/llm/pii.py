@@ -13,6 +13,7 @@ token is outside any entity, which makes the windows' decodings that of the whol
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from functools import lru_cache
@@ -249,6 +250,11 @@ class SemiCrf:
         return out[::-1]
 
 
+def _log_sum(logs: list[float]) -> float:
+    top = max(logs)
+    return top if len(logs) == 1 else top + math.log(sum(math.exp(x - top) for x in logs))
+
+
 @lru_cache(maxsize=4)
 def fit(sentences: int = SENTENCES, seed: int = SEED, rounds: int = ROUNDS, rate: float = 0.5, ridge: float = 1e-3) -> SemiCrf:
     """Stochastic gradient ascent (adaptive steps) on the conditional log-likelihood, by forward and backward sums over
@@ -259,6 +265,7 @@ def fit(sentences: int = SENTENCES, seed: int = SEED, rounds: int = ROUNDS, rate
         gold = {(a, b): TYPES.index(k) for a, b, k in spans}
         found = [(i, j, np.array([names.setdefault(f, len(names)) for f in fs])) for i, j, fs in candidates(text, tokens)]
         data.append((len(tokens), found, [gold.get((tokens[i][0], tokens[j - 1][1]), -1) for i, j, _ in found]))
+    firsts = [np.cumsum([0, *(len(f) for *_, f in found)])[:-1] for _, found, _ in data]
     weights = np.zeros((len(names), len(TYPES)))
     squares = np.full_like(weights, 1e-8)
     order = np.random.default_rng(seed)
@@ -267,27 +274,28 @@ def fit(sentences: int = SENTENCES, seed: int = SEED, rounds: int = ROUNDS, rate
             n, found, gold = data[k]
             if not found:
                 continue
-            scores = np.array([weights[f].sum(axis=0) for *_, f in found])
-            forward, backward = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+            scores = np.add.reduceat(weights[np.concatenate([f for *_, f in found])], firsts[k], axis=0)
+            forward, backward = [-np.inf] * (n + 1), [-np.inf] * (n + 1)
             forward[0] = backward[n] = 0.0
-            whole = np.logaddexp.reduce(scores, axis=1)
+            whole = np.logaddexp.reduce(scores, axis=1).tolist()
             by_end: dict[int, list[int]] = {}
             by_start: dict[int, list[int]] = {}
             for c, (i, j, _) in enumerate(found):
                 by_end.setdefault(j, []).append(c)
                 by_start.setdefault(i, []).append(c)
             for j in range(1, n + 1):
-                forward[j] = np.logaddexp.reduce([forward[j - 1], *(forward[found[c][0]] + whole[c] for c in by_end.get(j, ()))])
+                forward[j] = _log_sum([forward[j - 1], *(forward[found[c][0]] + whole[c] for c in by_end.get(j, ()))])
             for i in range(n - 1, -1, -1):
-                backward[i] = np.logaddexp.reduce([backward[i + 1], *(backward[found[c][1]] + whole[c] for c in by_start.get(i, ()))])
-            for c, (i, j, f) in enumerate(found):
-                slope = -np.exp(np.minimum(0.0, forward[i] + scores[c] + backward[j] - forward[n]))
-                if gold[c] >= 0:
-                    slope[gold[c]] += 1.0
-                if np.abs(slope).max() > 1e-4:
-                    step = slope - ridge * weights[f]
-                    squares[f] += step * step
-                    weights[f] += rate * step / np.sqrt(squares[f])
+                backward[i] = _log_sum([backward[i + 1], *(backward[found[c][1]] + whole[c] for c in by_start.get(i, ()))])
+            around = np.array([forward[i] + backward[j] - forward[n] for i, j, _ in found])
+            slopes = -np.exp(np.minimum(0.0, scores + around[:, None]))
+            marked = np.flatnonzero(np.array(gold) >= 0)
+            slopes[marked, np.array(gold)[marked]] += 1.0
+            for c in np.flatnonzero(np.abs(slopes).max(axis=1) > 1e-4).tolist():
+                f = found[c][2]
+                step = slopes[c] - ridge * weights[f]
+                squares[f] += step * step
+                weights[f] += rate * step / np.sqrt(squares[f])
     return SemiCrf(names, weights)
 
 
