@@ -100,9 +100,9 @@ def near_links(spark: SparkSession, prints: DataFrame, blocks: int = BLOCKS, cel
 
 
 def near_duplicates(docs: DataFrame, blocks: int = BLOCKS, cell_rows: int = CELL_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``.
+    """(doc_id, fp, component_id, component) for every row of ``docs``.
 
-    component_id: the smallest id reachable over links of ``MAX_BITS`` or fewer differing bits, itself included.
+    component: one fingerprint of the component, the same for all its rows. component_id: the smallest id reachable over links of ``MAX_BITS`` or fewer differing bits, itself included.
     Null and empty texts have fingerprint 0 and link like any other. Rows with a null id take part; a component of
     null ids only has a null component_id. Repeated rows stay repeated. Other columns are ignored, whatever their
     names; an empty table gives no rows.
@@ -113,9 +113,9 @@ def near_duplicates(docs: DataFrame, blocks: int = BLOCKS, cell_rows: int = CELL
     labels = connected_components(spark, near_links(spark, first.select("fp"), blocks, cell_rows))
     joined = labels.join(first, F.col("node") == F.col("fp")).select("fp", "label", "first_id")
     least = joined.groupBy("label").agg(F.min("first_id").alias("least_id"))
-    linked = joined.join(least, "label").select("fp", "least_id")
-    ids = first.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    linked = joined.join(least, "label").select("fp", "label", "least_id")
+    ids = first.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("label", "fp").alias("component"))
+    return prints.join(ids, "fp").select("doc_id", "fp", "component_id", "component")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -123,6 +123,14 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row for each near-duplicate component: that of the smallest id (of equal rows, one)."""
-    kept = near_duplicates(docs, **options).where(F.col("doc_id") == F.col("component_id")).select(F.col("component_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one row for each near-duplicate component: that of the smallest id (of rows with that id, one). A
+    component whose ids are all null keeps one row of its smallest text, a null text only if it has no other."""
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    found = near_duplicates(docs, **options)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("component_id").alias("kept_id")).distinct()
+    own = docs.join(kept, docs[id_col] == F.col("kept_id"), "left_semi").dropDuplicates([id_col])
+    nameless = docs.where(docs[id_col].isNull())
+    alone = found.where("component_id is null").select("fp", "component").distinct()
+    texts = with_fingerprints(nameless.select(text_col).distinct(), text_col, text_col).join(alone, "fp")
+    least = texts.groupBy("component").agg(F.min("doc_id").alias("kept_text"))
+    return own.union(nameless.join(least, docs[text_col].eqNullSafe(F.col("kept_text")), "left_semi").dropDuplicates([text_col]))

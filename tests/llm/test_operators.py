@@ -86,7 +86,18 @@ def test_simhash(docs):
     assert Counter((r.doc_id, r.component_id) for r in got) == Counter((d[0], least.get(c)) for d, c in zip(data, roots, strict=True))
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     kept = simhash.keep_representatives(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
+    nameless = sum(c not in least for c in set(roots))
+    assert nameless == 1 and kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([*least.values(), *[None] * nameless])
+
+
+def test_representatives_without_ids(spark):
+    data = [(None, None), (None, ""), (None, prose(5)), (None, prose(5)), (None, prose(6)), (3, prose(6)), (None, None)]
+    kept = simhash.keep_representatives(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(None, ""), (None, prose(5)), (3, prose(6))])
+    data = [(None, None), (None, None), (7, prose(7))]
+    kept = simhash.keep_representatives(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(None, None), (7, prose(7))])
 
 
 @pytest.mark.parametrize("cell_rows", [1, 3, 64])
