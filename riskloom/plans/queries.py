@@ -278,8 +278,7 @@ def ego_network_size(spark, sf):
 
 @query
 def distance_to_seeds(spark, sf):
-    few = _seeds(spark, sf).where("node_id < '0000000010'")
-    return shaped(graph_algorithms.seed_distance(_projection(spark, sf), few, adapters.providers(spark, sf).select(F.col("npi").alias("node_id"))))
+    return shaped(graph_algorithms.seed_distance(_projection(spark, sf), _seeds(spark, sf), adapters.providers(spark, sf).select(F.col("npi").alias("node_id"))))
 
 
 @query
