@@ -6,7 +6,8 @@ token outside scores 0. Dynamic programming over segment ends picks boundaries a
 conditional likelihood of labelled sentences, made by rule with a fixed seed: spans of every type in running words, next to
 look-alikes (versions, dates, prices, identifiers) that are no personal data.
 
-An entity holds a digit, an @ or a bracketed "at", so a text is decoded in windows of tokens around those; outside them every
+An entity holds a digit, an @ or a bracketed "at", so a text is decoded in windows of tokens around those, each with all the
+characters an entity can have there and the tokens before it that count as cues; windows that touch are one. Outside them every
 token is outside any entity, which makes the windows' decodings that of the whole text.
 """
 
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import slices
 
 TYPES = ("email", "ip", "card", "phone", "id", "iban")
-MOST_TOKENS = 16
+MOST_TOKENS, MOST_CHARS = 16, 64
+#: Tokens before a segment whose words count as its cues.
+CUE_TOKENS = 4
 SEED = 11
 SENTENCES = 500
 ROUNDS = 10
@@ -113,12 +116,12 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[s
     span = text[a:b]
     at = "@" in span or "[at]" in span.lower() or "(at)" in span.lower()
     digits = _digits(span)
-    if not at and len(digits) < 7 or b - a > 64 or "\n" in span:
+    if not at and len(digits) < 7 or b - a > MOST_CHARS or "\n" in span:
         return None
     if not (span[0].isalnum() or span[0] in "+(") or not span[-1].isalnum():
         return None
     before, after = text[a - 1 : a], text[b : b + 1]
-    words = [text[x:y].lower() for x, y in tokens[max(0, i - 4) : i]]
+    words = [text[x:y].lower() for x, y in tokens[max(0, i - CUE_TOKENS) : i]]
     groups = re.findall(r"[0-9]+", span)
     if before.isalnum() or after.isalnum():
         return None
@@ -299,24 +302,35 @@ def fit(sentences: int = SENTENCES, seed: int = SEED, rounds: int = ROUNDS, rate
     return SemiCrf(names, weights)
 
 
+def _context(text: str, a: int, last: int) -> int:
+    """The start of what an entity from ``a`` on needs to its left: the rest of its first word and CUE_TOKENS tokens before
+    it. At ``last`` or below the search ends, as the window before goes on there."""
+    least = max(last, 0)
+    for _ in range(CUE_TOKENS + 1):
+        while a > least and text[a - 1].isspace():
+            a -= 1
+        if a > least and not text[a - 1].isalnum():
+            a -= 1
+            continue
+        while a > least and text[a - 1].isalnum():
+            a -= 1
+    return a
+
+
 def crf_spans(text: str, model: SemiCrf) -> list[tuple[int, int, str]]:
     """Entities of a whole text, decoded in windows of tokens around what every entity holds."""
-    out = []
-    low = high = None
-    windows = []
+    windows: list[tuple[int, int]] = []
     for m in _TRIGGER.finditer(text):
-        if high is None or m.start() > high:
-            if high is not None:
-                windows.append((low, high))
-            low = max(m.start() - 80, high or 0)
-        high = m.end() + 80
-    if high is not None:
-        windows.append((low, min(high, len(text))))
+        high = min(m.start() + MOST_CHARS, len(text))
+        last = windows[-1][1] if windows else -1
+        low = _context(text, max(m.start() - MOST_CHARS, 0), last)
+        if low <= last:
+            windows[-1] = (windows[-1][0], high)
+        else:
+            windows.append((low, high))
+    out = []
     for a, b in windows:
-        while a > 0 and text[a - 1].isalnum() and text[a : a + 1].isalnum():
-            a -= 1
-        tokens = tokens_of(text, a, b)
-        out += model.decode(text, tokens)
+        out += model.decode(text, tokens_of(text, a, b))
     return out
 
 

@@ -315,6 +315,21 @@ def test_personal_data(spark, docs):
     assert pii.scan(docs.limit(0), model).count() == 0
 
 
+def test_windows_decode_as_the_whole_text():
+    model = pii.fit()
+    whole = lambda t: model.decode(t, pii.tokens_of(t, 0, len(t)))
+    rng = np.random.default_rng(4)
+    words = "of paper green meeting contact card phone iban x internationalisation".split()
+    filler = lambda n: " ".join(words[k] for k in rng.integers(len(words), size=n))[:n]
+    texts = [f"page 7 {filler(n)} john.smith [at] example [dot] com" for n in range(40, 180)]
+    texts += [f"page 7 {filler(n)} {cue}{' ' * gap}{x} then" for n in (60, 100, 140, 200) for gap in (1, 30, 90, 200) for cue, x in (("card", "4111.1111.1111.1111"), ("phone:", "555-013-7713"), ("ssn", "123-45-6789"))]
+    for _ in range(60):
+        texts.append("".join(text + filler(int(rng.integers(0, 150))) + " " for text, _ in pii.labelled_sentences(4, int(rng.integers(1000)))))
+    for t in texts:
+        assert pii.crf_spans(t, model) == whole(t)
+    assert any(t[a:b].startswith("john.smith [at]") for t in texts[:140] for a, b, _ in whole(t))
+
+
 # -- language model
 
 
