@@ -17,7 +17,7 @@ AS_OF = "2001-06-01"
 ROUNDS = 20
 K = 20
 SIMILARITY = 0.975
-#: Window of the graph that the algorithms run on; wider ones link almost all suppliers.
+#: Window of the co-billing graph that the analytics run on (``_graph`` has the default one); wider ones link almost all suppliers.
 GRAPH_WINDOW = 0
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,8 +180,8 @@ for _kind, _columns in EDGE_COLUMNS.items():
 
 
 def _graph(spark, sf):
-    claims = graph_algorithms.written(_claims(spark, sf, "beneficiary_id", "facility_id", "referring_provider_npi"), "claims")
-    return graph_build.build_graph(adapters.providers(spark, sf), claims, adapters.exclusions(spark, sf), adapters.ownership(spark, sf), adapters.bank_accounts(spark, sf), window_days=GRAPH_WINDOW)
+    claims = graph_algorithms.written(_claims(spark, sf, "beneficiary_id", "facility_id", "referring_provider_npi", "procedure_code"), "claims")
+    return graph_build.build_graph(adapters.providers(spark, sf), claims, adapters.exclusions(spark, sf), adapters.ownership(spark, sf), adapters.bank_accounts(spark, sf))
 
 
 @query
