@@ -68,8 +68,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 MIXING_SQL = f"""
-with sized as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
-  cast('0x' || substr(md5('mix{mixing.SEED}:' || doc_id), 1, 15) as bigint) as place from documents),
+with keyed as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
+  coalesce('=' || source, 'null') as sk, coalesce('=' || cast(doc_id as varchar), 'null') as ik, coalesce(md5(text), 'null') as tie from documents),
+sized as (select doc_id, source, size, cast('0x' || substr(md5(concat_ws(':', 'mix{mixing.SEED}', sk, ik, tie, row_number() over (partition by sk, ik, tie) - 1)), 1, 15) as bigint) as place from keyed),
 totals as (select source, sum(size) as source_size from sized group by source),
 ranked as (select *, (row_number() over (order by source is null, source) - 1) % 3 as k from totals),
 weighed as (select source, source_size, case k when 0 then 5 when 1 then 2 else 1 end as weight, {mixing.MOST_REPEATS} * source_size as cap from ranked),
@@ -81,12 +82,12 @@ level as (select cast(max(all_size) - coalesce(sum(case when is_full then cap en
 goals as (select source, cast(source_size as bigint) as source_size, case when is_full then cast(cap as double) else weight * rate end as target from capped, level),
 cut as (select *, coalesce(floor(target / nullif(source_size, 0)), 0) as passes, target - coalesce(floor(target / nullif(source_size, 0)), 0) * source_size as rest from goals),
 running as (select s.doc_id, s.source, s.size, s.place, c.source_size, c.target, c.passes, c.rest,
-  sum(s.size) over (partition by s.source order by s.place, s.doc_id rows unbounded preceding) as upto from sized s join cut c on s.source is not distinct from c.source),
-beyonds as (select *, count_if(upto > rest) over (partition by source order by place, doc_id rows unbounded preceding) > 0 as beyond from running),
+  sum(s.size) over (partition by s.source order by s.place rows unbounded preceding) as upto from sized s join cut c on s.source is not distinct from c.source),
+beyonds as (select *, count_if(upto > rest) over (partition by source order by place rows unbounded preceding) > 0 as beyond from running),
 lacks as (select *, rest - max(case when beyond then 0 else upto end) over (partition by source) as lack from beyonds),
-best as (select source, doc_id, row_number() over (partition by source order by abs(size - lack), place, doc_id) as nr from lacks where beyond and abs(size - lack) < lack)
+best as (select source, place, row_number() over (partition by source order by abs(size - lack), place) as nr from lacks where beyond and abs(size - lack) < lack)
 select l.doc_id, l.size, l.source_size, l.target, cast(l.size * (l.passes + case when not l.beyond or b.nr is not null then 1 else 0 end) as bigint) as taken
-from lacks l left join best b on b.nr = 1 and b.doc_id = l.doc_id and b.source is not distinct from l.source
+from lacks l left join best b on b.nr = 1 and b.place = l.place and b.source is not distinct from l.source
 """
 
 DECONTAMINATION_SQL = f"""
