@@ -1,17 +1,19 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block, with what can't be article text (scripts, menus, forms, adverts,
-comments and the like, known by element, role, class or id) replaced by empty lines. Text lengths, less those of links, are
-summed over sliding windows of ``WINDOW`` lines. A surge is where a window's sum first rises above the threshold, a dive
-where it falls back to nothing; the richest stretch between them is the main text. If that stretch lies in an ``article`` or
-``main`` element, the stretch is that element's, so that short first and last paragraphs stay.
+Markup is stripped into lines, one for each block. A line's size is its text length less twice that of its links, times a
+weight: what can't be article text (scripts, menus, forms, adverts, comments and the like, known by element, role, class or
+id) weighs nothing, lines in an ``article`` or ``main`` element weigh more and, on a page that has one, lines beside it weigh
+less. Sizes are summed over sliding windows of ``WINDOW`` lines. A surge is where a window's sum first reaches the surge
+threshold, led back over lines before it that are no dive themselves; a dive is where a window's sum falls below the dive
+threshold. The main text is the text between surges and dives, but for stretches whose greatest window is poor next to that of the richest one. Lines that weigh nothing give no text.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from itertools import groupby
+from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,11 +22,19 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import slices
 
 WINDOW = 3
-#: Least sum of text lengths in a window for a surge.
-SURGE_CHARS = 80
+#: Least sum of a window for a surge, and the share of the page's greatest window that is enough on small pages and that a
+#: stretch needs to be kept.
+SURGE_CHARS, SURGE_SHARE = 80.0, 0.25
+#: A sum below it is a dive.
+DIVE_CHARS = 4.0
+#: Weights of lines: in an article, on a page without one, beside one.
+IN_ARTICLE, PLAIN, BESIDE_ARTICLE = 4.0, 1.0, 0.03
+#: Open elements looked through for the paragraph or item that a new block ends.
+MOST_INLINE = 16
 
 _NAME = r"[a-zA-Z][^\s/>]*+"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)({_NAME})((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)({_NAME})([^>]*)>|<[!?][^>]*(?:>|\Z)", re.S)
+_UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([a-zA-Z-]+)")
 
 # Element names and the words of classes, ids and roles that mark what is not article text.
@@ -33,7 +43,8 @@ DROPPED = frozenset("head nav footer aside form button select menu dialog audio
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-CONTAINERS = frozenset("article main section div td body".split())
+#: Elements that an end tag of another one inside them doesn't close.
+BARRIERS = frozenset("article main body".split())
 MARKED = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist reply replies respond disqus pagination pager toolbar skip login search".split()
 )
@@ -59,123 +70,138 @@ def _marked(name: str, raw: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, tuple[tuple[str, int], ...]]]:
-    """(text, link characters, path of containers) of each block in page order; ('', 0, ()) for what was left out."""
-    lines: list[tuple[str, int, tuple]] = []
+class Line(NamedTuple):
+    """A block's text, its characters in links, whether it can't be article text, whether an article element holds it."""
+
+    text: str
+    links: int
+    dropped: bool
+    in_article: bool
+
+
+class _Open(NamedTuple):
+    name: str
+    dropped: bool
+    in_article: bool
+    in_link: bool
+
+
+def lines_of(page: str) -> list[Line]:
+    """The blocks in page order, in time linear in the page."""
+    lines: list[Line] = []
     parts: list[str] = []
-    links = serial = 0
-    stack: list[tuple[str, bool, tuple]] = []  # name, dropped, path
+    links = 0
+    stack: list[_Open] = []
+    names = [Counter()]  # of the open elements inside each barrier
+    last_end = page.rfind(">")
 
     def flush() -> None:
         nonlocal links
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                lines.append((text, min(links, len(text)), stack[-1][2] if stack else ()))
+                own = stack[-1] if stack else _Open("", False, False, False)
+                lines.append(Line(text, min(links, len(text)), own.dropped, own.in_article))
             parts.clear()
         links = 0
 
     def text_at(start: int, end: int) -> None:
         nonlocal links
-        if end > start and not (stack and stack[-1][1]):
+        if end > start:
             parts.append(page[start:end])
-            if any(n == "a" for n, *_ in stack[-6:]):
+            if stack and stack[-1].in_link:
                 links += end - start
 
+    def push(x: _Open) -> None:
+        stack.append(x)
+        names[-1][x.name] += 1
+        if x.name in BARRIERS:
+            names.append(Counter())
+
     def pop_to(k: int) -> None:
-        if any(n not in INLINE for n, *_ in stack[k:]):
+        if any(x.name not in INLINE for x in stack[k:]):
             flush()
-        if any(d for _, d, _ in stack[k:]) and not (k and stack[k - 1][1]):
-            lines.append(("", 0, ()))
-        del stack[k:]
+        while len(stack) > k:
+            x = stack.pop()
+            if x.name in BARRIERS:
+                names.pop()
+            names[-1][x.name] -= 1
 
     at = 0
-    while m := _TOKEN.search(page, at):
+    while at <= last_end and (m := _TOKEN.search(page, at, last_end + 1)):
         text_at(at, m.start())
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
+            if m.end() > last_end and not m[0].endswith(">"):  # a comment or declaration without an end
+                at = len(page)
             continue
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop_to(k)
-                    break
-                if stack[k][0] in ("article", "main", "body") and name not in ("article", "main", "body", "html"):
-                    break
-            else:
-                if name in ("p", "br"):
-                    flush()
+            if names[-1][name] > 0 or (name in BARRIERS or name == "html") and any(c[name] > 0 for c in names):
+                pop_to(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name))
+            elif name in ("p", "br"):
+                flush()
             continue
         if name in RAW_TEXT:
-            end = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(name)}[^<>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
         if name not in INLINE:
             flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" and name != "br" or stack[k][0] == name == "li":
+            for k in range(len(stack) - 1, max(-1, len(stack) - 1 - MOST_INLINE), -1):
+                if stack[k].name == "p" and name != "br" or stack[k].name == name == "li":
                     pop_to(k)
                     break
-                if stack[k][0] not in INLINE and stack[k][0] != "p":
+                if stack[k].name not in INLINE and stack[k].name != "p":
                     break
-        if name in VOID:
-            continue
         raw = m[3] if m[2] else m[6]
-        if name in INLINE and raw.rstrip().endswith("/"):
+        if name in VOID or name in INLINE and raw.rstrip().endswith("/"):
             continue
-        path = stack[-1][2] if stack else ()
-        in_article = any(n in ("article", "main") for n, _ in path)
-        dropped = bool(stack and stack[-1][1]) or _marked(name, raw, in_article)
-        if stack and stack[-1][0] == "header" and not stack[-1][1] and name not in HEADINGS and name not in ("div", "hgroup"):
-            dropped = True
-        if name in CONTAINERS:
-            serial += 1
-            path = (*path, (name, serial))
-        stack.append((name, dropped, path))
-    text_at(at, len(page))
+        over = stack[-1] if stack else _Open("", False, False, False)
+        dropped = over.dropped or _marked(name, raw, over.in_article) or over.name == "header" and name not in HEADINGS and name not in ("div", "hgroup")
+        if name not in INLINE and dropped != over.dropped:
+            flush()
+        push(_Open(name, dropped, over.in_article or name in ("article", "main"), name == "a" or over.in_link and name in INLINE))
+    unfinished = _UNFINISHED.search(page, at)
+    text_at(at, unfinished.start() if unfinished else len(page))
     flush()
     return lines
 
 
-def _stretches(sizes: list[int]) -> list[tuple[int, int]]:
-    """(first line, end) between each surge and the dive after it, by window sums."""
+def weighted_sizes(lines: list[Line]) -> list[float]:
+    held = any(x.in_article and not x.dropped for x in lines)
+    beside = BESIDE_ARTICLE if held else PLAIN
+    return [0.0 if x.dropped else (IN_ARTICLE if x.in_article else beside) * max(0, len(x.text) - 2 * x.links) for x in lines]
+
+
+def stretches(sizes: list[float]) -> list[tuple[int, int]]:
+    """(first line, end) between each surge and the dive after it, by window sums, of those rich enough to keep."""
     sums = [sum(sizes[i : i + WINDOW]) for i in range(len(sizes))]
-    out, i = [], 0
-    while i < len(sizes):
-        if sums[i] >= SURGE_CHARS and sizes[i]:
-            end = i
-            while end < len(sizes) and sums[end] > 0:
+    most = max(sums, default=0.0)
+    surge = min(SURGE_CHARS, SURGE_SHARE * most)
+    dive = min(DIVE_CHARS, surge)
+    out, i, last = [], 0, 0
+    while most > 0 and i < len(sizes):
+        if sizes[i] > 0 and sums[i] >= surge:
+            start = end = i
+            while start > last and sizes[start - 1] >= dive:
+                start -= 1
+            while end < len(sizes) and sums[end] >= dive:
                 end += 1
-            out.append((i, end))
-            i = end
-        i += 1
+            if max(sums[i:end]) >= SURGE_SHARE * most:
+                out.append((start, end))
+            i = last = end
+        else:
+            i += 1
     return out
 
 
 def main_text(page: str | None) -> str:
-    """The main text; empty for null, empty and textless pages. A page whose windows never surge gives all its lines."""
+    """The main text; empty for null, empty and textless pages."""
     lines = lines_of(page or "")
-    sizes = [len(text) - 2 * links if 2 * links < len(text) else 0 for text, links, _ in lines]
-    if not any(text for text, *_ in lines):
-        return ""
-    found = _stretches(sizes) or [(0, len(lines))]
-    low, high = max(found, key=lambda s: (sum(sizes[s[0] : s[1]]), -s[0]))
-    for kind in ("article", "main"):
-        held: dict[tuple, int] = {}
-        for (_, _, path), n in zip(lines[low:high], sizes[low:high], strict=True):
-            if outer := next((p for p in path if p[0] == kind), None):
-                held[outer] = held.get(outer, 0) + n + 1
-        if not held:  # the richest stretch is outside: fall back to any such element
-            for text, _, path in lines:
-                if outer := next((p for p in path if p[0] == kind), None):
-                    held[outer] = held.get(outer, 0) + len(text)
-        if held:
-            best = max(held, key=held.get)
-            return " ".join(text for text, _, path in lines if text and best in path)
-    home = max(((p, sum(sizes[i] for i in own)) for p, own in ((p, list(g)) for p, g in groupby(range(low, high), key=lambda i: lines[i][2]))), key=lambda x: x[1])[0]
-    kept = [i for i in range(len(lines)) if low <= i < high or (home and lines[i][2][: len(home)] == home and any(a <= i < b for a, b in found))]
-    return " ".join(lines[i][0] for i in kept if lines[i][0] and lines[i][1] < len(lines[i][0]))
+    sizes = weighted_sizes(lines)
+    kept = (lines[i] for a, b in stretches(sizes) for i in range(a, b))
+    return " ".join(x.text for x in kept if not x.dropped and (x.in_article or x.links < len(x.text)))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -3,11 +3,13 @@ extra columns whose names clash with the operators' own."""
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from math import log10
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from riskloom.llm import decontaminate, html_extract, katz, mixing, pii, quality, secret_scan, sharding, simhash, toxicity
 from riskloom.llm.common import connected_components, word_count
 
+DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{k % 977}" for k in range(60_000))
 WORDS = "the of and to in is that for it with as was on be at by this from or an river stone light garden winter market".split()
@@ -211,33 +214,120 @@ def brute_targets(sizes):
         full |= over
 
 
-def test_mixing(spark, docs):
+def brute_mix(data, shard_words, seed=mixing.SEED):
+    """Counter of (source, id, text, shard): blocks, quotas, one recursive tree and its leaves, in plain Python."""
+    met, rows = Counter(), []
+    for i, text, _, source, _ in data:
+        key = ("null" if source is None else f"={source}", "null" if i is None else f"={i}", "null" if text is None else hashlib.md5(text.encode()).hexdigest())
+        place = int(hashlib.md5(":".join([f"mix{mixing.SEED}", *key, str(met[key])]).encode()).hexdigest()[:15], 16)
+        met[key] += 1
+        rows.append((key[0], place, len(words_of(text)), (source, i, text)))
+    sizes = defaultdict(int)
+    for _, _, n, (source, *_) in rows:
+        sizes[source] += n
+    target = brute_targets(sizes)
+    total = int(sum(target.values()) + 1e-6)
+    shards = max(1, -(-total // shard_words))
+    block_words = max(1, total // (shards * mixing.SHARD_BLOCKS))
+    names = sorted(sizes, key=lambda s: "null" if s is None else f"={s}")
+    bits, quotas, last = [], [], {}
+    for k, source in enumerate(names):
+        own = sorted(r for r in rows if r[3][0] == source)
+        bits.append((max(1, sizes[source]) // block_words).bit_length())
+        passes = int(target[source] // sizes[source]) if sizes[source] else 0
+        rest, run, cut = target[source] - passes * sizes[source], 0, None
+        for r in own:
+            if run + r[2] > rest:
+                cut = r[1]
+                break
+            run += r[2]
+        more = [(abs(r[2] - (rest - run)), r[1]) for r in own if cut is not None and r[1] >= cut and abs(r[2] - (rest - run)) < rest - run]
+        blocks = 0 if cut is None else (cut >> (60 - bits[k])) + 1
+        quotas.append((passes << bits[k]) + blocks)
+        last[source] = passes, cut, blocks, min(more)[1] if more else None
+
+    def tree(low, high, own):
+        if high - low == 1:
+            return {low: own}
+        mid = (low + high) // 2
+        left = sum(quotas) * mid // shards - sum(quotas) * low // shards
+        part = np.random.default_rng([seed, low, high]).multivariate_hypergeometric(own, left, method="marginals")
+        return {**tree(low, mid, part), **tree(mid, high, own - part)}
+
+    leaves = tree(0, shards, np.array(quotas))
+    out = Counter()
+    for k, source in enumerate(names):
+        holder = [s for s in range(shards) for _ in range(leaves[s][k])]
+        where = {int(x): holder[p] for p, x in enumerate(mixing.permuted(np.arange(quotas[k]), quotas[k], seed + k))} if quotas[k] else {}
+        passes, cut, blocks, best = last[source]
+        for _, place, _, who in (r for r in rows if r[3][0] == source):
+            at = [where[p << bits[k] | place >> (60 - bits[k])] for p in range(passes)]
+            if cut is not None and place < cut:
+                at.append(where[passes << bits[k] | place >> (60 - bits[k])])
+            if best == place:
+                at.append(where[passes << bits[k] | blocks - 1])
+            for shard in at:
+                out[*who, shard] += 1
+    return out
+
+
+def mixed_rows():
     rng = np.random.default_rng(9)
-    many = [(k, prose(k, int(rng.integers(1, 40))), "en", "big" if k % 3 else f"s{k % 7}", 0) for k in range(400)] + [(1000, None, None, "void", 0), (1001, "x y", None, None, None)]
+    out = [(k, prose(k, int(rng.integers(1, 40))), "en", "big" if k % 3 else f"s{k % 7}", 0) for k in range(400)] + [(1000, None, None, "void", 0), (1001, "x y", None, None, None)]
+    out += [(None, prose(k, 1 + k % 9), "en", "abc"[k % 3], k) for k in range(150)]  # half a source without ids
+    out += [(7, "rep rep rep", "en", "a", 1)] * 60 + [(None, "nn mm", "en", "b", 2)] * 70  # repeated rows
+    return out + [(9, "x y z", "en", "a", 5), (9, "x y z", "en", "c", 5), (9, "other text", "en", "c", 5)]  # an id in two sources
+
+
+def test_mixing(spark, docs):
+    many = mixed_rows()
     df = spark.createDataFrame(many, DOCS)
-    got = mixing.plan(df).collect()
-    sizes = defaultdict(int)
+    got = mixing.plan(df, shard_words=500).collect()
+    sizes, longest = defaultdict(int), defaultdict(int)
     for _, t, _, s, _ in many:
         sizes[s] += len(words_of(t))
-    target = brute_targets(sizes)
-    taken = defaultdict(int)
+        longest[s] = max(longest[s], len(words_of(t)))
+    target, taken = brute_targets(sizes), defaultdict(int)
     for r in got:
-        assert r.target == pytest.approx(target[r.source]) and r.source_size == sizes[r.source] and r.taken <= 3 * r.size
+        assert r.target == pytest.approx(target[r.source]) and r.source_size == sizes[r.source] and r.copies <= 3
         taken[r.source] += r.taken
     for s in sizes:
-        assert abs(taken[s] - target[s]) <= 3
-    assert sorted((r.doc_id, r.taken) for r in mixing.plan(df.repartition(5)).collect()) == sorted((r.doc_id, r.taken) for r in got)
+        assert abs(taken[s] - target[s]) <= longest[s]
+    key = lambda r: str((r.doc_id, r.source, r.size, r.taken))
+    assert sorted(map(key, mixing.plan(df.repartition(5), shard_words=500).collect())) == sorted(map(key, got))
+    expected = brute_mix(many, 500)
+    counted = Counter()
+    for (source, i, text, _), n in expected.items():
+        counted[source, i, len(words_of(text))] += n
+    planned = Counter()
+    for r in got:
+        planned[r.source, r.doc_id, r.size] += r.copies
+    assert +planned == counted
     mixed = mixing.mix(df, shard_words=500)
     assert mixed.columns == [*df.columns, "mix_shard"]
-    assert Counter(r.doc_id for r in mixed.collect()) == Counter({r.doc_id: r.copies for r in got if r.taken})
+    assert Counter((r.source, r.doc_id, r.text, r.mix_shard) for r in mixed.collect()) == expected
+    assert len({s for *_, s in expected}) > 4
     assert mixing.plan(docs).count() == len(rows()) and mixing.plan(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
     assert mixing.mix(docs).count() > 0
+    with pytest.raises(ValueError, match="mix_shard"):
+        mixing.mix(docs.withColumn("mix_shard", F.lit(1)))
+
+
+def test_what_no_leaf_holds_is_not_taken(spark, monkeypatch):
+    df = spark.createDataFrame(mixed_rows(), DOCS)
+    monkeypatch.setattr(mixing, "shard_blocks", lambda spark, *a: spark.createDataFrame([], "source_nr long, block long, pass long, mix_shard long"))
+    assert mixing.plan(df).agg(F.sum("taken")).first()[0] <= 7 * 40  # but for the row that fills up each source
 
 
-def test_splitting_tree():
+def test_splitting_tree(spark):
     quotas = [50, 0, 7, 300]
     leaves = mixing.splitting_tree(quotas, 13)
     assert leaves.sum(axis=0).tolist() == quotas and leaves.min() >= 0 and np.ptp(leaves.sum(axis=1)) <= 1
+    found = mixing.shard_blocks(spark, [5000, 0, 700], [12, 0, 9], 300, 3).collect()
+    assert Counter(r.source_nr for r in found) == {0: 5000, 2: 700} and len({(r.source_nr, r.block, r["pass"]) for r in found}) == 5700
+    assert (mixing.splitting_tree([5000, 0, 700], 300, 3)[:, 0] == np.bincount([r.mix_shard for r in found if r.source_nr == 0], minlength=300)).all()
+    for n in (1, 2, 3, 64, 1000):
+        assert sorted(mixing.permuted(np.arange(n), n, 5).tolist()) == list(range(n))
 
 
 # -- sharding
@@ -388,7 +478,40 @@ def test_html():
     plain = "<body><div class='menu'><a href=x>Home</a></div><div id=content><h2>Title</h2><p>" + "Long text of the page. " * 5 + "</p><p>" + "More of the text here. " * 5 + "</p></div><div class='sidebar'>" + "links " * 30 + "</div></body>"
     assert html_extract.main_text(plain) == " ".join(["Title", *("Long text of the page. " * 5 + "More of the text here. " * 5).split()])
     assert html_extract.main_text("<div class='with-sidebar'><p>" + "kept words " * 20) == " ".join("kept words " * 20 for _ in range(1)).strip()
-    html_extract.main_text("<p" * 5000 + "\"" * 5000)
+    for awkward in ("<p" * 500_000, '<p"' * 300_000, "<!--" * 200_000, "<script>>" + "</script" * 100_000, "<p '>" * 100_000):
+        start = time.perf_counter()
+        html_extract.main_text(awkward)
+        assert time.perf_counter() - start < 5
+
+
+def brute_stretches(sizes):
+    """By the definition: hysteresis on window sums, over all lines at once."""
+    sums = np.array([sum(sizes[i : i + 3]) for i in range(len(sizes))])
+    if not len(sums) or not sums.max():
+        return []
+    surge = min(80.0, sums.max() / 4)
+    dive, kept, end = min(4.0, surge), [], 0
+    for i in range(len(sizes)):
+        if i >= end and sizes[i] > 0 and sums[i] >= surge:
+            after = [j for j in range(i, len(sizes)) if sums[j] < dive]
+            last, end = end, after[0] if after else len(sizes)
+            back = [j for j in range(last, i) if sizes[j] < dive]
+            if sums[i:end].max() >= sums.max() / 4:
+                kept.append((back[-1] + 1 if back else last, end))
+    return kept
+
+
+def test_surges_and_dives(monkeypatch):
+    pages = [r[0] for r in pq.read_table(f"{DATA}/pages.parquet", columns=["html"]).to_pandas().to_numpy()]
+    pages += ["<body>" + "".join(f"<p>{'word ' * n}</p>" for n in sizes) for sizes in np.random.default_rng(3).integers(-30, 30, (60, 40))]
+    for page in pages:
+        sizes = html_extract.weighted_sizes(html_extract.lines_of(page))
+        assert html_extract.stretches(sizes) == brute_stretches(sizes)
+    beside = "<body><div><p>" + "Word after word of the text. " * 9 + "</p></div>" + "<p></p><p><a href=x>link and link</a></p>" * 5 + "<div>© 2020</div></body>"
+    assert html_extract.main_text(beside) == ("Word after word of the text. " * 9).strip()
+    texts = [html_extract.main_text(p) for p in pages]
+    monkeypatch.setattr(html_extract, "stretches", lambda sizes: [])
+    assert any(texts) and not any(html_extract.main_text(p) for p in pages)
 
 
 def test_html_table(spark):
