@@ -152,19 +152,36 @@ def brute_hits(text, items, n=10):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block", [3, 1000])
-def test_decontamination(spark, docs, block):
-    items = [(1, " ".join(words_of(prose(1))[5:25])), (20, "Two, WORDS!"), (3, "é ß"), (4, None), (None, "one"), (5, ""), (1, " ".join(words_of(prose(2))[:9]) + " zebra"), (20, "two words")]
-    bench = spark.createDataFrame(items, "item_id long, text string").withColumns({"words": F.lit(1), "block": F.lit(2)})
-    got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.report(docs, bench, block_windows=block).collect())
-    assert got == Counter((d[0], *brute_hits(d[1], items)) for d in rows())
-    dirty = {d[1] for d in rows() if brute_hits(d[1], items)[-1]}
-    kept = decontaminate.decontaminate(docs, bench, block_windows=block)
-    assert kept.columns == docs.columns and Counter(r.text for r in kept.collect()) == Counter(d[1] for d in rows() if d[1] not in dirty)
-    cut = decontaminate.decontaminate(docs, bench, remove="spans", block_windows=1000)
-    assert cut.count() == len(rows()) and not any(brute_hits(r.text, items[:1])[-1] for r in cut.collect())
-    assert decontaminate.report(docs.limit(0), bench).count() == 0
-    assert decontaminate.report(docs, bench.limit(0)).where("contaminated").isEmpty()
+@pytest.mark.parametrize("most", [0, decontaminate.BROADCAST_BYTES])
+def test_decontamination(spark, docs, most):
+    """By the broadcast set and, with no bytes allowed for it, by the join."""
+    twelve = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    items = [(1, " ".join(words_of(prose(1))[5:25])), (20, "Two, WORDS!"), (3, "é ß"), (4, None), (None, "one"), (5, ""), (1, " ".join(words_of(prose(2))[:9]) + " zebra"), (20, "two words"), (6, twelve), (7, twelve)]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumns({"words": F.lit(1), "block": F.lit(2), "hash": F.lit(3)})
+    data = [*rows(), (50, f"Before, {twelve.upper()}... after", None, None, None), (51, f"{twelve} {twelve} mu", None, None, None)]
+    more = docs.unionByName(docs.limit(0).sparkSession.createDataFrame(data[-2:], DOCS), allowMissingColumns=True)
+    got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.report(more, bench, broadcast_bytes=most).collect())
+    assert got == Counter((d[0], *brute_hits(d[1], items)) for d in data)
+    dirty = {d[1] for d in data if brute_hits(d[1], items)[-1]}
+    kept = decontaminate.decontaminate(more, bench, broadcast_bytes=most)
+    assert kept.columns == more.columns and Counter(r.text for r in kept.collect()) == Counter(d[1] for d in data if d[1] not in dirty)
+    cut = {r.doc_id: r.text for r in decontaminate.decontaminate(more, bench, remove="spans", broadcast_bytes=most).collect()}
+    assert cut[50] == "Before, ... after" and words_of(cut[51]) == ["mu"] and len(cut) == len({d[0] for d in data})
+    for d in data:
+        if d[1] not in dirty:
+            assert cut[d[0]] == d[1] or d[0] is None
+        elif d[0] is not None:
+            n_words, n_hit, *_ = brute_hits(d[1], items)
+            assert len(decontaminate.normalised_words(cut[d[0]])) == n_words - n_hit
+    assert decontaminate.report(docs.limit(0), bench, broadcast_bytes=most).count() == 0
+    assert decontaminate.report(docs, bench.limit(0), broadcast_bytes=most - 1).where("contaminated").isEmpty()
+
+
+def test_windows_of_equal_hash_are_told_apart():
+    row = lambda h, w, i: type("R", (), {"hash": h, "window": w, "__getitem__": lambda self, k: i})()
+    code = int(decontaminate.window_hashes(decontaminate._word_codes([b"a", b"b"]), 2)[0])
+    found = decontaminate.WindowSet.of([row(code, "x y", ["1"]), row(code, "a b", ["2"])])
+    assert found.find([b"x", b"a", b"b"]) == [(1, 3, ["2"])]
 
 
 # -- quality
