@@ -440,49 +440,80 @@ def test_windows_decode_as_the_whole_text():
 # -- language model
 
 
-def brute_katz(data):
+def brute_katz(data, order):
     docs = [(i, [w.encode() for w in words_of(t)] + [b""], i is not None and zlib.crc32(str(i).encode()) % 10 == 0) for i, t, *_ in data]
-    c1, c2, train = Counter(), Counter(), 0
+    before = lambda w, i, k: tuple([b" ", *w][max(0, i - k + 2) : i + 1])  # noqa: E731  the k - 1 symbols before token i
+    grams = {k: Counter() for k in range(2, order + 1)}
+    c1 = Counter()
     for _, w, held in docs:
         if not held:
-            train += 1
             c1.update(w)
-            c2.update(zip([b" ", *w], w, strict=False))
+            for k, c in grams.items():
+                c.update((before(w, i, k), x) for i, x in enumerate(w))
     of = lambda c: [sum(v == r for v in c.values()) for r in range(1, 7)]
-    d1, d2, n, v = katz.discounts(of(c1)), katz.discounts(of(c2)), sum(c1.values()), len(c1)
+    d1, n, v = katz.discounts(of(c1)), sum(c1.values()), len(c1)
+    d = {k: katz.discounts(of(c)) for k, c in grams.items()}
     cut = lambda c, d: d[c - 1] * c if c <= 5 else c - katz.HIGH_LOSS
     mass = sum(cut(x, d1) for x in c1.values())
     unknown = max(1 - mass / n, 1 / (n + 1))
-    p1 = lambda w: cut(c1[w], d1) * (1 - unknown) / mass if c1[w] else unknown
-    ch = Counter(c1)
-    ch[b" "] = train
-    left, seen = Counter(), Counter()
-    for (h, w), k in c2.items():
-        left[h] += k - cut(k, d2)
-        seen[h] += p1(w)
-    back = {h: left[h] / ch[h] / (1 - seen[h]) for h in left}
-    for h in [*back][:5]:
-        whole = sum(cut(k, d2) / ch[h] for (a, _), k in c2.items() if a == h) + back[h] * (sum(p1(w) for w in c1 if (h, w) not in c2) + unknown)
-        assert whole == pytest.approx(1)
+    after = {k: defaultdict(dict) for k in grams}
+    for k, c in grams.items():
+        for (h, x), m in c.items():
+            after[k][h][x] = m
+
+    def p(x, h, k):
+        if k == 1:
+            return cut(c1[x], d1) * (1 - unknown) / mass if c1[x] else unknown
+        own = after[k].get(h)
+        if own is None:
+            return p(x, h[-(k - 2) :] if k > 2 else (), k - 1)
+        return cut(own[x], d[k]) / sum(own.values()) if x in own else weight(h, k) * p(x, h[-(k - 2) :] if k > 2 else (), k - 1)
+
+    known = {}
+
+    def weight(h, k):
+        if (h, k) not in known:
+            own = after[k][h]
+            left = sum(m - cut(m, d[k]) for m in own.values()) / sum(own.values())
+            known[h, k] = left / (1 - sum(p(x, h[-(k - 2) :] if k > 2 else (), k - 1) for x in own))
+        return known[h, k]
+
+    for k in after:
+        for h in [*after[k]][:: max(1, len(after[k]) // 7)]:
+            assert sum(p(x, h, k) for x in c1) + p(b"no such word", h, k) == pytest.approx(1)
     out = []
     for i, w, held in docs:
-        score = sum(log10(cut(c2[h, x], d2) / ch[h]) if c2[h, x] else log10(p1(x)) + (log10(back[h]) if ch[h] else 0) for h, x in zip([b" ", *w], w, strict=False))
+        score = sum(log10(p(x, before(w, j, order), order)) for j, x in enumerate(w))
         base = sum(log10((c1[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
         out.append((i, held, len(w), sum(c1[x] > 0 for x in w), n, round(base, 6), round(score, 6)))
     return out
 
 
-def test_katz(spark, docs):
-    data = rows() + [(k, prose(k, 50) + f" only{k}", None, None, None) for k in range(20, 60)]
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz(spark, docs, order):
+    data = [r for r in rows() if r[1] != LONG] + [(k, prose(k, 50) + f" only{k}", None, None, None) for k in range(20, 60)]
+    data += [(k, LONG[:9000], None, None, None) for k in (70, 71)]
     df = spark.createDataFrame(data, DOCS).withColumn("word", F.lit(1)).repartition(3)
     df = df.union(df.limit(0))
-    got = katz.score(df, chunk_tokens=500, bucket_tokens=300).collect()
+    got = katz.score(df, order, chunk_tokens=500, bucket_tokens=100).collect()
     exact = lambda r: tuple(map(str, r[:5]))
     got = sorted((tuple(r) for r in got), key=lambda r: (exact(r), r[5]))
-    expected = sorted(brute_katz(data), key=lambda r: (exact(r), r[5]))
+    expected = sorted(brute_katz(data, order), key=lambda r: (exact(r), r[5]))
     assert [exact(r) for r in got] == [exact(r) for r in expected]
     assert np.array([r[5:] for r in got]) == pytest.approx(np.array([r[5:] for r in expected]), rel=1e-7, abs=1e-6)
-    assert katz.score(docs.limit(0)).count() == 0
+    assert katz.score(docs.limit(0), order).count() == 0
+
+
+def test_hot_words_are_dealt(spark):
+    """A word with half of the tokens fills several buckets, each with its share, and counts beyond 32 bits hold."""
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(k, " ".join(x for i in rng.integers(0, 400, 100) for x in ("the", f"w{i}")), None, None, None) for k in range(1, 60)], DOCS)
+    chunks = katz.encode(df, 2000)
+    the = katz.word_hash(b"the")
+    places = lambda hot: {r.bucket for r in katz.requests(chunks, 3, 64, hot).collect() if the.to_bytes(8, "little") in [r.words[i : i + 8] for i in range(0, len(r.words), 8)]}
+    assert len(places({})) == 1 and len(places({the: 9})) == 9
+    big = np.array([1, 5_000_000_000], dtype=np.int64)
+    assert katz._unpack_counts(katz._pack_counts(big)).tolist() == big.tolist()
 
 
 # -- html
