@@ -574,9 +574,71 @@ def test_html_table(spark):
 def test_toxicity_grammar():
     m = toxicity.ToxicityModel()
     total = lambda t: sum(m.clauses(t))
-    assert total("You are an idiot.") > total("What an idiot idea.") > total("That is not an idiot.") > 0 == total("A fine day.")
+    assert total("You are an idiot.") > total("You are not an idiot.") > 0
+    assert total("Idiot.") == total("What an idiot idea.") == total("idiot moron; fool") == 0
+    assert total("What an idiot idea that was yesterday evening.") > 0 == total("A fine day.")
+    assert total("Those two are clowns.") > toxicity.ADDRESSED * 0.9
+    assert toxicity.ToxicityModel(companions=frozenset(["la"])).clauses("la idiot") == [toxicity.ACCOMPANIED]
     assert total('He said "you idiot" today.') < total("you idiot today.")
-    assert total("I will kill you.") > 0 == total("They kill time.") == total(None) == total("")
+    assert total("I will kill you.") > total("I will not kill you.") > 0 == total("They kill time.") == total(None) == total("")
+    assert total("you grumblo’s") == 0 < sum(toxicity.ToxicityModel({"grumblos": 1.0}).clauses("you grumblo’s"))
+
+
+def brute_clauses(read):
+    """Each transducer over the whole sequence by its definition, one after the other."""
+    marks = [set() for _ in read]
+    left = 0
+    for i, (s, _) in enumerate(read):
+        if s in toxicity.BREAKS:
+            left = 0
+        elif s != "quote":
+            if left:
+                marks[i].add("n")
+            left = 3 if s == "negation" else max(0, left - 1)
+    said = quoted = False
+    for i, (s, _) in enumerate(read):
+        if said or quoted:
+            marks[i].add("r")
+        said = (said or s == "report") and s not in ("sentence end", "line end")
+        quoted = quoted != (s == "quote") and s != "line end"
+    words = [s for s, _ in read]
+    kind, left = None, 0
+    for i, s in enumerate(words):
+        if s in toxicity.BREAKS:
+            kind = None
+        elif s != "quote":
+            if s == "intent":
+                kind, left = "intent", 6
+            elif s == "harm" and kind == "intent":
+                kind, left = "harm", 4
+            elif s == "target" and kind == "harm":
+                words[i], kind = "threat", None
+            elif kind:
+                left -= 1
+                kind = kind if left else None
+    out, own = [], []
+    for i, s in enumerate(words):
+        if s not in toxicity.BREAKS:
+            own.append(i)
+            continue
+        kinds = [words[k] for k in own]
+        weight = sum((1.5 if words[k] == "threat" else read[k][1]) * (0.25 if "n" in marks[k] else 1) * (0.5 if "r" in marks[k] else 1) for k in own if words[k] in ("insult", "threat"))
+        others = sum(x not in ("insult", "quote") for x in kinds)
+        if "threat" in kinds or "insult" in kinds and "target" in kinds:
+            out.append(weight * 1.5)
+        elif "insult" in kinds and ("companion" in kinds or others >= 4):
+            out.append(weight * (1.0 if "companion" in kinds else 0.8))
+        own = []
+    return out
+
+
+def test_composed_machine_against_its_parts():
+    rng = np.random.default_rng(6)
+    p = np.array([4, 3, 2, 2, 2, 1, 1.5, 1, 1, 1, 0.7, 0.3])
+    for _ in range(400):
+        read = [(toxicity.SYMBOLS[int(k)], float(w)) for k, w in zip(rng.choice(len(p), 60, p=p / p.sum()), rng.integers(1, 4, 60), strict=True)]
+        read = [(s, w if s == "insult" else 1.0) for s, w in read] + [("line end", 0.0)]
+        assert toxicity.grammar().clauses((toxicity.SYMBOLS.index(s), w) for s, w in read) == pytest.approx(brute_clauses(read))
 
 
 def test_toxicity_learns(spark, docs):
@@ -598,3 +660,7 @@ def test_toxicity_learns(spark, docs):
     assert np.mean([r.predicted == (r.doc_id % 3 == 0) for r in held]) > 0.98
     assert toxicity.score(docs, model).where("score < 0 or score > 1 or score is null").isEmpty()
     assert toxicity.score(docs.limit(0), toxicity.fit(df.limit(0), lab)).count() == 0
+    assert toxicity.score(docs, model).where("doc_id is null").count() == 1
+    named = lambda d: d.withColumn("doc_id", F.col("doc_id").cast("string"))
+    again = toxicity.fit(named(df), named(lab))
+    assert again == model and sorted(r.score for r in toxicity.score(named(df), again).collect()) == sorted(r.score for r in toxicity.score(df, model).collect())
