@@ -9,12 +9,14 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to the per-document Python code at a time, so that long texts don't pile up.
-SLICE_ROWS = 512
+#: Rows and bytes of text handed to the per-document Python code at a time, so that long texts don't pile up.
+SLICE_ROWS, SLICE_BYTES = 512, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,10 +69,19 @@ def ascii_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def slices(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], most_bytes: int = SLICE_BYTES) -> Iterable[pa.RecordBatch]:
+    """Cuts batches into runs of at most ``SLICE_ROWS`` rows and ``most_bytes`` bytes of text, or one row of more."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(at, SLICE_ROWS)
+        sizes = np.zeros(batch.num_rows, dtype=np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            end = min(max(at + 1, int(np.searchsorted(ends, before + most_bytes, "right"))), at + SLICE_ROWS)
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def word_count(text: Column) -> Column:

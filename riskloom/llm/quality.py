@@ -8,20 +8,23 @@ threshold that is fixed from the same labelled sample (see :func:`_threshold`) b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import slices, unit_hash
+from riskloom.llm.common import slices, unit_hash, written
 
 NGRAM_BYTES = (2, 4)
 BUCKETS = 1 << 14
 SAMPLE_ROWS = 20_000
 SMOOTHING = 0.5
+#: Bytes of a text that are hashed at a time.
+PIECE_BYTES = 1 << 20
 #: Share of trusted sample texts that the threshold may turn away.
 TRUSTED_LOSS = 0.002
 #: What the cut may lose of the best separation to be more lenient.
@@ -44,6 +47,31 @@ def _buckets(data: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
+def _pieces(text: str | None) -> Iterator[np.ndarray]:
+    """Buckets of all n-grams of a text, by pieces of bounded size. A piece reaches into the next one as far as the n-grams that
+    begin in it; what a short end repeats of the last piece is cut off."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    if len(data) <= PIECE_BYTES:
+        yield _buckets(data)
+        return
+    for k, n in enumerate(NGRAM_BYTES):
+        for at in range(0, len(data) - n + 1, PIECE_BYTES):
+            found = _buckets(data[at : at + PIECE_BYTES + n - 1])
+            yield found[(found >= k * BUCKETS) & (found < (k + 1) * BUCKETS)]
+
+
+def _counts(texts: list[str | None]) -> np.ndarray:
+    total = np.zeros(BUCKETS * len(NGRAM_BYTES), dtype=np.int64)
+    held: list[np.ndarray] = []
+    for text in texts:
+        for found in _pieces(text):
+            held.append(found)
+            if sum(map(len, held)) >= PIECE_BYTES:
+                total += np.bincount(np.concatenate(held), minlength=len(total))
+                held = []
+    return total + np.bincount(np.concatenate(held), minlength=len(total)) if held else total
+
+
 @dataclass(frozen=True)
 class QualityModel:
     """ratio: log(target / raw) by bucket; threshold: the least mean ratio that is kept."""
@@ -53,13 +81,20 @@ class QualityModel:
 
     def score(self, text: str | None) -> float:
         """Mean log ratio; 0.0 for a text without n-grams."""
-        found = _buckets((text or "").encode("utf-8", "surrogatepass"))
-        return float(self.ratio[found].mean()) if len(found) else 0.0
+        total, n = 0.0, 0
+        for found in _pieces(text):
+            total, n = total + float(self.ratio[found].sum()), n + len(found)
+        return total / n if n else 0.0
 
 
-def _sample(labels: DataFrame, sample_rows: int) -> dict[int, int]:
-    rows = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return {r[0]: r[1] for r in rows.orderBy(unit_hash("quality", F.col("doc_id")), "doc_id").limit(sample_rows).collect()}
+def _sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
+    """(sample_id, good, text) of the rows of at most ``sample_rows`` labelled ids, those first by a fixed hash. Ids are compared
+    as text, whatever their type."""
+    key = F.col("doc_id").cast("string")
+    known = labels.where(key.isNotNull() & F.col("quality").isNotNull()).groupBy(key.alias("sample_id")).agg((F.max("quality") == 1).alias("good"))
+    known = written(docs.sparkSession, known.orderBy(unit_hash("quality", F.col("sample_id")), "sample_id").limit(sample_rows), "quality-sample")
+    rows = docs.select(key.alias("own_id"), "text").join(F.broadcast(known), F.col("own_id") == F.col("sample_id")).select("sample_id", "good", "text")
+    return written(docs.sparkSession, rows, "quality-texts")
 
 
 def _threshold(scores: np.ndarray, good: np.ndarray) -> float:
@@ -76,43 +111,44 @@ def _threshold(scores: np.ndarray, good: np.ndarray) -> float:
     return (cut + float(below[-1])) / 2 if len(below) else cut
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
-    """Counts over every text of ``docs``; the target and the threshold from the labelled sample. Only vectors of fixed
-    length, one for each scan task, and the sample's scores reach the driver."""
-    quality = _sample(labels, sample_rows)
-    size = BUCKETS * len(NGRAM_BYTES)
+def _summed(texts: DataFrame) -> np.ndarray:
+    """N-gram counts of a column of texts. Only vectors of fixed length, one for each task, leave the tasks."""
 
     def count(batches):
-        raw, target = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+        total = np.zeros(BUCKETS * len(NGRAM_BYTES), dtype=np.int64)
         for batch in slices(batches):
-            ids, texts = (c.to_pylist() for c in batch.columns)
-            found = [_buckets((t or "").encode("utf-8", "surrogatepass")) for t in texts]
-            raw += np.bincount(np.concatenate(found), minlength=size) if found else 0
-            if trusted := [f for i, f in zip(ids, found, strict=True) if quality.get(i) == 1]:
-                target += np.bincount(np.concatenate(trusted), minlength=size)
-        for kind, counts in (("raw", raw), ("target", target)):
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(at if kind == "raw" else at + size, pa.int32()), pa.array(counts[at], pa.int64())], names=["bucket", "n"])
-
-    totals = np.zeros(2 * size, dtype=np.int64)
-    for bucket, n in docs.select("doc_id", "text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
-        totals[bucket] = n
-    ratio = np.zeros(size)
+            total += _counts(batch.column(0).to_pylist())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
+
+    out = np.zeros(BUCKETS * len(NGRAM_BYTES), dtype=np.int64)
+    for bucket, n in texts.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
+        out[bucket] = n
+    return out
+
+
+def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """log(target / raw) of the two smoothed multinomials, by bucket; 0 without target texts."""
+    ratio = np.zeros(len(raw))
     for k in range(len(NGRAM_BYTES)):
         own = slice(k * BUCKETS, (k + 1) * BUCKETS)
-        raw, target = totals[:size][own], totals[size:][own]
-        if target.sum():
-            ratio[own] = np.log((target + SMOOTHING) / (target.sum() + SMOOTHING * BUCKETS)) - np.log((raw + SMOOTHING) / (raw.sum() + SMOOTHING * BUCKETS))
-    model = QualityModel(ratio, -np.inf)
+        if target[own].sum():
+            ratio[own] = np.log((target[own] + SMOOTHING) / (target[own].sum() + SMOOTHING * BUCKETS)) - np.log((raw[own] + SMOOTHING) / (raw[own].sum() + SMOOTHING * BUCKETS))
+    return ratio
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
+    """Counts over every text of ``docs``; the target and the threshold from the labelled sample, whose texts alone are scored
+    here. The driver collects two vectors and one score for each sampled id, its least one."""
+    sample = _sample(docs, labels, sample_rows)
+    model = QualityModel(log_ratio(_summed(sample.where("good").select("text")), _summed(docs.select("text"))), -np.inf)
 
     def score(batches):
         for batch in slices(batches):
-            own = [(i, model.score(t)) for i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if i in quality]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([model.score(t) for t in batch.column(2).to_pylist()], pa.float64())], names=["sample_id", "good", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, "doc_id long, score double").groupBy("doc_id").agg(F.min("score")).collect()
-    good = np.array([quality[i] == 1 for i, _ in scored], dtype=bool)
-    return QualityModel(ratio, _threshold(np.array([s for _, s in scored]), good))
+    scored = sample.mapInArrow(score, "sample_id string, good boolean, score double").groupBy("sample_id", "good").agg(F.min("score")).collect()
+    return QualityModel(model.ratio, _threshold(np.array([s for *_, s in scored]), np.array([g for _, g, _ in scored], dtype=bool)))
 
 
 def repeated_words(words: list[bytes], window: int = 5) -> int:

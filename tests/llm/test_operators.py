@@ -9,13 +9,14 @@ from collections import Counter, defaultdict
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from riskloom.llm import decontaminate, html_extract, katz, mixing, pii, quality, secret_scan, sharding, simhash, toxicity
-from riskloom.llm.common import connected_components, word_count
+from riskloom.llm.common import connected_components, slices, word_count
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -214,6 +215,56 @@ def test_quality_rules(spark, docs):
         assert quality.judge(docs.limit(0), empty).count() == 0 and quality.judge(docs, empty).count() == len(rows())
 
 
+def brute_codes(text):
+    """(length of the n-gram, bucket) of each n-gram, one after the other, in whole numbers."""
+    data, out = (text or "").encode(), []
+    for n in quality.NGRAM_BYTES:
+        for i in range(len(data) - n + 1):
+            code = 0
+            for b in data[i : i + n]:
+                code = (code * 0x01000193 + b) & 0xFFFFFFFF
+            code = ((code ^ code >> 15) * 0x2C1B3C6D) & 0xFFFFFFFF
+            out.append((n, (code ^ code >> 12) % quality.BUCKETS))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_quality_ratio_against_brute_force(spark, monkeypatch, kind):
+    monkeypatch.setattr(quality, "PIECE_BYTES", 40)  # on the driver: pieces give what whole texts give
+    junk = lambda k: "".join(chr(33 + int(c)) for c in np.random.default_rng(k).integers(0, 60, 150))
+    data = [(k, prose(k, 30) if k % 3 else junk(k)) for k in range(60)] + [(None, prose(99)), (61, None), (62, ""), (1, prose(1, 30))]
+    marks = [(k, int(k % 3 > 0)) for k in range(0, 60, 2)] + [(None, 1), (500, 1), (61, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind)).repartition(3)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int").withColumn("doc_id", F.col("doc_id").cast(kind))
+    good = {i: q for i, q in marks if i is not None and q is not None}
+    raw, target = Counter(), Counter()
+    for i, t in data:
+        raw.update(brute_codes(t))
+        if good.get(i) == 1:
+            target.update(brute_codes(t))
+    total = lambda c, n: sum(v for (m, _), v in c.items() if m == n)
+    share = lambda c, g: np.log((c[g] + 0.5) / (total(c, g[0]) + 0.5 * quality.BUCKETS))
+    model = quality.fit(df, labels)
+    scores = []
+    for i, t in data:
+        own = brute_codes(t)
+        scores.append(float(np.mean([share(target, g) - share(raw, g) for g in own])) if own else 0.0)
+        assert model.score(t) == pytest.approx(scores[-1])
+    least = {i: min(s for (j, _), s in zip(data, scores, strict=True) if j == i) for i in good if any(j == i for j, _ in data)}
+    assert max(s for i, s in least.items() if not good[i]) < model.threshold <= min(s for i, s in least.items() if good[i])
+    got = quality.judge(df, model).collect()
+    expected = Counter((None if i is None else str(i), not quality.base_failed(*quality.rules(t)[:: 4]) and s >= model.threshold) for (i, t), s in zip(data, scores, strict=True))
+    assert Counter((None if r.doc_id is None else str(r.doc_id), r.kept) for r in got) == expected
+    assert sum(r.kept for r in got) > 30
+
+
+def test_slices_bound_rows_and_bytes():
+    texts = ["x" * n for n in (10, 2_000_000, 5, *[1000] * 3000, 1_500_000)] + [None]
+    found = list(slices([pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": texts})]))
+    assert [t for b in found for t in b.column(1).to_pylist()] == texts
+    assert all(b.num_rows == 1 or b.num_rows <= 512 and sum(len(t or "") for t in b.column(1).to_pylist()) <= 1 << 20 for b in found)
+
+
 # -- mixing
 
 
