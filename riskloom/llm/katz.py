@@ -39,7 +39,7 @@ from riskloom.llm.common import ascii_words, removed, slices, written
 #: Order of the registered query. Each further order asks for about as many n-grams again.
 ORDER = 2
 CHUNK_TOKENS = 1_000_000
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS = 1_000_000
 LEAST_BUCKETS = 8
 GT_COUNTS = 5
 HIGH_LOSS = 1e-3
