@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import random
+import re
 import shutil
 import tempfile
 import uuid
@@ -26,9 +27,11 @@ BETWEENNESS_NODES, BETWEENNESS_EDGES = 10_000, 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or (where it is unset, as in tests) a temporary folder of our own."""
+    """``spark.checkpoint.dir``. Where it is unset, a temporary folder of our own; only a local master may leave it unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         base = tempfile.mkdtemp(prefix="riskloom-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -86,8 +89,9 @@ def _propagate_small(steps: DataFrame, restart: DataFrame, start: DataFrame | No
     return rows.coalesce(1).mapInArrow(run, "node_id string, score double")
 
 
-def propagate(graph: DataFrame, restart: DataFrame, damping: float, start: DataFrame | None = None, mode: str = "push", self_loops: bool = False, rounds: int = 20, tolerance: float | None = None, norm: str = "l1", adopt_last: bool = True) -> DataFrame:
-    """(node_id, score) after rounds of ``score = damping * spread(score) + (1 - damping) * restart``.
+def propagate(graph: DataFrame, restart: DataFrame, damping: float, start: DataFrame | None = None, mode: str = "push", self_loops: bool = False, rounds: int = 20, tolerance: float | None = None, norm: str = "l1", adopt_last: bool = True, small_edges: int | None = None) -> DataFrame:
+    """(node_id, score) after rounds of ``score = damping * spread(score) + (1 - damping) * restart``. Up to ``small_edges`` steps
+    (``SMALL_EDGES``) one task does the same sums as arrays.
 
     push: a node deals its score to its neighbours by edge weight (random walks). pull: a node takes the weighted mean of its
     neighbours (label propagation). ``start`` (node_id, score) defaults to the restart vector. With a ``tolerance`` the loop
@@ -101,7 +105,7 @@ def propagate(graph: DataFrame, restart: DataFrame, damping: float, start: DataF
     totals = graph.groupBy(F.col(share).alias("t_")).agg(F.sum("weight").alias("total_"))
     steps = written(graph.join(totals, F.col(share) == F.col("t_")).select("src", "dst", (F.col("weight") / F.col("total_")).alias("part")), "steps")
     restart = written(restart, "restart")
-    if steps.count() <= SMALL_EDGES:
+    if steps.count() <= (SMALL_EDGES if small_edges is None else small_edges):
         return _propagate_small(steps, restart, start, damping, rounds, tolerance, norm, adopt_last)
     state = start if start is not None else restart.select("node_id", F.col("restart").alias("score"))
     n = restart.count() if tolerance is not None else 0
@@ -121,11 +125,11 @@ def propagate(graph: DataFrame, restart: DataFrame, damping: float, start: DataF
     return state
 
 
-def personalized_pagerank(graph: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
+def personalized_pagerank(graph: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, small_edges: int | None = None) -> DataFrame:
     """From an equal start, restart on the seeds; weights count where they aren't 1."""
     restart = restart_vector(graph, seeds)
     start = restart_vector(graph, seeds.limit(0)).select("node_id", F.col("restart").alias("score"))
-    return propagate(graph, restart, alpha, start, rounds=rounds, tolerance=tolerance)
+    return propagate(graph, restart, alpha, start, rounds=rounds, tolerance=tolerance, small_edges=small_edges)
 
 
 def random_walk_with_restart(graph: DataFrame, seeds: DataFrame, restart_prob: float = 0.15, rounds: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
@@ -212,15 +216,18 @@ def _betweenness_from(sources: list[str], out: dict[str, list[str]]) -> dict[str
 
 def betweenness(edges: DataFrame, most_sources: int = 1000, seed: int = 42) -> DataFrame:
     """(node_id, betweenness) of a simple directed graph, normalised: exact up to ``most_sources`` nodes, from a seeded sample
-    of sources above. Graphs over ``BETWEENNESS_NODES`` nodes are skipped, as are those over ``BETWEENNESS_EDGES`` edges: no
-    rows. Sources are dealt over tasks; each holds the adjacency, whose size is checked first."""
+    of sources above. It is not computed for graphs of ``BETWEENNESS_NODES`` nodes or more: null for every node. Sources are dealt
+    over tasks; each holds the adjacency, whose size is checked first, and graphs over ``BETWEENNESS_EDGES`` edges raise."""
     spark = edges.sparkSession
     simple = written(edges.where("src <> dst").select("src", "dst").distinct(), "simple")
     nodes = vertices(simple)
-    n, m = nodes.count(), simple.count()
-    empty = spark.createDataFrame([], "node_id string, betweenness double")
-    if n < 2 or n >= BETWEENNESS_NODES or m > BETWEENNESS_EDGES:
-        return empty
+    n = nodes.count()
+    if n < 2:
+        return spark.createDataFrame([], "node_id string, betweenness double")
+    if n >= BETWEENNESS_NODES:
+        return nodes.withColumn("betweenness", F.lit(None).cast("double"))
+    if (m := simple.count()) > BETWEENNESS_EDGES:
+        raise ValueError(f"{m} edges are over the {BETWEENNESS_EDGES} that betweenness takes")
     out: dict[str, list[str]] = defaultdict(list)
     for r in simple.orderBy("src", "dst").toLocalIterator():
         out[r.src].append(r.dst)
@@ -384,7 +391,8 @@ def community_features(parts: DataFrame, providers: DataFrame, excluded: DataFra
 
 
 def structural_features(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, edge_types: list[str], rounds: int | None = 30) -> DataFrame:
-    """One row a provider: centralities by edge type (0 where it has none), PPR, community, clustering, ego size, distance."""
+    """One row a provider: centralities by edge type (0 where it has none; betweenness null where it was not computed), PPR,
+    community, clustering, ego size, distance."""
     from riskloom.operators.graph_build import project, provider_nodes
 
     edges = written(edges, "edges")
@@ -404,5 +412,6 @@ def structural_features(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, ed
     parts.append(seed_distance(graph, seeds, who).withColumnRenamed("distance", "min_distance_to_bad_actor"))
     df = who
     for p in parts:
-        df = df.join(p, "node_id", "left")
-    return df.fillna(0)
+        df = df.join(p.withColumn("has_", F.lit(True)), "node_id", "left")
+        df = df.withColumns({c: F.when(F.col("has_"), F.col(c)).otherwise(F.lit(0.0)) for c in p.columns if c.startswith("betweenness_")}).drop("has_")
+    return df.fillna(0, [c for c in df.columns if not c.startswith("betweenness_")])

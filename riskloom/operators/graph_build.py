@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.operators.graph_algorithms import written
+
 PROVIDER_TYPES = ("Provider", "Provider_Ind", "Provider_Org")
 NODES = {"id": "string", "node_type": "string", "taxonomy": "string", "specialty": "string", "state": "string", "enrollment_date": "date", "date_of_service": "timestamp_ntz", "billed_amount": "double", "paid_amount": "double", "source": "string", "exclusion_date": "timestamp_ntz", "role": "string"}
 EDGES = {"src": "string", "dst": "string", "edge_type": "string", "date": "timestamp_ntz", "amount": "double", "beneficiary": "string", "date_diff_days": "int", "ownership_percentage": "double", "similarity": "double"}
@@ -148,16 +150,19 @@ def build_graph(providers: DataFrame, claims: DataFrame | None = None, exclusion
         edges.append(similar_billing(claims, similarity_threshold, similarity_code))
     every = reduce(DataFrame.unionByName, [n.withColumn("order_", F.lit(k)) for k, n in enumerate(nodes)])
     rest = [c for c in NODES if c != "id"]
-    best = every.where("id is not null").groupBy("id").agg(F.min_by(F.struct(*rest), F.struct("order_", F.coalesce("date_of_service", "exclusion_date"), "billed_amount")).alias("n"))
-    return best.select("id", *[F.col(f"n.{c}").alias(c) for c in rest]), reduce(DataFrame.unionByName, edges).where("src is not null and dst is not null")
+    key = F.struct("order_", F.coalesce("date_of_service", "exclusion_date"), "billed_amount")
+    best = every.where("id is not null").groupBy("id").agg(*[F.min_by(c, key).alias(c) for c in rest])  # unread ones are pruned
+    return best, reduce(DataFrame.unionByName, edges).where("src is not null and dst is not null")
 
 
 def graph_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(kind, type, n): totals and counts by type of nodes and edges. Ends of edges that are no node have type Unknown."""
-    ends = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
-    typed = nodes.select("id", "node_type").join(ends, "id", "full").select(F.coalesce("node_type", F.lit("Unknown")).alias("type"))
+    """(kind, type, n): totals and counts by type of nodes and edges. Ends of edges that are no node have type Unknown. One pass
+    over the edges counts their ends by id and type, which gives both the ends and, halved, the edges."""
+    each = edges.select(F.coalesce("edge_type", F.lit("Unknown")).alias("type"), F.explode(F.array("src", "dst")).alias("id"))
+    each = written(each.groupBy("id", "type").agg(F.count(F.lit(1)).alias("n")), "edge-ends")
+    typed = nodes.select("id", "node_type").join(each.select("id").distinct(), "id", "full").select(F.coalesce("node_type", F.lit("Unknown")).alias("type"))
     n = typed.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
-    e = edges.groupBy(F.coalesce("edge_type", F.lit("Unknown")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    e = each.groupBy("type").agg((F.sum("n") / 2).cast("long").alias("n"))
     total = lambda df: df.agg(F.lit("total").alias("type"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     parts = [x.select(F.lit(k).alias("kind"), "type", "n") for k, df in (("node", n), ("edge", e)) for x in (df, total(df))]
     return reduce(DataFrame.unionByName, parts)

@@ -1,7 +1,7 @@
 """Ranking metrics of scored, labelled rows (id, score, label 0 or 1). Ties of top-k and reports go by ascending id.
 
-Curves work on counts by distinct score: added before the shuffle, then run through one ordered window, which holds one row
-for each distinct score rather than each row. At many distinct scores round them first.
+Curves and average ranks work on counts by distinct score, added before the shuffle; their running totals are taken within range
+partitions and added up over these, so that no task needs all scores however many are distinct.
 """
 
 from __future__ import annotations
@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.operators.ordered import with_running_totals
+
 
 def _thresholds(scored: DataFrame) -> DataFrame:
-    """By descending distinct score: score, n, pos, and running totals; totals of all rows."""
+    """By descending distinct score: score, n, pos, and running totals (n_upto, pos_upto); totals of all rows (n_all, pos_all)."""
     by = scored.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
-    upto = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    return by.withColumns({"n_upto": F.sum("n").over(upto), "pos_upto": F.sum("pos").over(upto), "n_all": F.sum("n").over(every), "pos_all": F.sum("pos").over(every)})
+    return with_running_totals(by, [F.desc("score")], {"n_upto": "n", "pos_upto": "pos"}).withColumnsRenamed({"n_upto_all": "n_all", "pos_upto_all": "pos_all"})
 
 
 def pr_curve(scored: DataFrame) -> DataFrame:
@@ -99,8 +99,8 @@ def average_ranks(scores: DataFrame, columns: list[str], id_col: str = "node_id"
     """Adds ``{column}_rank``: descending rank, ties averaged; from counts by distinct value, joined back."""
     for c in columns:
         by = scores.groupBy(c).agg(F.count(F.lit(1)).alias("n_"))
-        before = F.coalesce(F.sum("n_").over(Window.orderBy(F.desc(c)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks = by.select(F.col(c).alias("value_"), (before + (F.col("n_") + 1) / 2).alias(f"{c}_rank"))
+        upto = with_running_totals(by, [F.desc(c)], {"upto_": "n_"})
+        ranks = upto.select(F.col(c).alias("value_"), (F.col("upto_") - (F.col("n_") - 1) / 2).alias(f"{c}_rank"))
         scores = scores.join(ranks, scores[c].eqNullSafe(ranks["value_"])).drop("value_")
     return scores
 

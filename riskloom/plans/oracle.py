@@ -115,7 +115,14 @@ EDGE_SQL = {
     "shares_facility": "select distinct provider_npi as src, 'FAC_' || facility_id as dst, 'SHARES_FACILITY' as edge_type from claims where facility_id in (select facility_id from claims group by 1 having count(distinct provider_npi) > 1)",
     "shares_bank": "select distinct provider_npi as src, 'BANK_' || account_hash as dst, 'SHARES_BANK_ACCOUNT' as edge_type from bank_accounts where account_hash in (select account_hash from bank_accounts group by 1 having count(distinct provider_npi) > 1)",
 }
-ALL_NODES = f"""{_co_bills(0)},
+def _similar(code: str, threshold: float) -> str:
+    return f"""
+vec as (select provider_npi as p, {code} as c, cast(count(*) as double) as n from claims where {code} is not null group by 1, 2), len as (select p, sqrt(sum(n * n)) as l from vec group by 1),
+cos as (select a.p as src, b.p as dst, sum(a.n * b.n) / (any_value(la.l) * any_value(lb.l)) as s from vec a join vec b on a.c = b.c and a.p < b.p join len la on la.p = a.p join len lb on lb.p = b.p group by 1, 2),
+similar_billing as (select src, dst, 'SIMILAR_BILLING_PATTERN' as edge_type, round(s, 9) as similarity from cos where s >= {threshold})"""
+
+
+ALL_NODES = f"""
 typed as (select npi as id, 'Provider' as node_type, specialty, license_state as state, null as source, null as role from providers
   union all select distinct 'CLAIM_' || claim_id, 'Claim', null, null, null, null from claims
   union all select distinct beneficiary_id, 'Beneficiary', null, null, null, null from claims where beneficiary_id <> ''
@@ -147,9 +154,9 @@ def oracle_sql() -> dict[str, str]:
         "temporal_consistency": f"{BASE}, e as (select exclusion_date - to_days(365) as d from exclusions) select (select min(date_of_service) from claims) as claims_min, (select max(date_of_service) from claims) as claims_max, min(d) as exclusions_min, max(d) as exclusions_max, (select max(date_of_service) from claims) > min(d) as potential_leakage from e",
         "validation_report": f"{BASE}, n as (select (select count(*) from providers) as p, (select count(*) from claims) as c, (select count(*) from exclusions) as e, (select count(distinct provider_npi) from claims) as u, (select count(distinct npi) from providers where npi not in (select provider_npi from claims)) as w) select unnest(['providers', 'claims', 'exclusions', 'statistics.total_providers', 'statistics.total_claims', 'statistics.total_exclusions', 'statistics.unique_providers_in_claims', 'statistics.providers_without_claims']) as \"table\", true as is_valid, unnest([p, c, e, p, c, e, u, w]) as num_records, 0::bigint as n_errors from n",
         "edges_co_bills": f"{BASE},{_co_bills(30)} select src, dst, edge_type, date, beneficiary, date_diff_days from co_bills",
-        "edges_similar_billing": f"{BASE}, v as (select provider_npi as p, brand_code as c, cast(count(*) as double) as n from claims where brand_code is not null group by 1, 2), l as (select p, sqrt(sum(n * n)) as l from v group by 1), s as (select a.p as src, b.p as dst, sum(a.n * b.n) / (any_value(la.l) * any_value(lb.l)) as s from v a join v b on a.c = b.c and a.p < b.p join l la on la.p = a.p join l lb on lb.p = b.p group by 1, 2) select src, dst, 'SIMILAR_BILLING_PATTERN' as edge_type, round(s, 9) as similarity from s where s >= {SIMILARITY}",
+        "edges_similar_billing": f"{BASE},{_similar('brand_code', SIMILARITY)} select * from similar_billing",
         "graph_nodes": f"{BASE},{ALL_NODES} select id, arg_min(node_type, o) as node_type, arg_min_null(specialty, o) as specialty, arg_min_null(state, o) as state, arg_min_null(source, o) as source, arg_min_null(role, o) as role from (select *, case node_type when 'Provider' then 0 when 'Claim' then 1 when 'Beneficiary' then 2 when 'Exclusion' then 3 when 'Owner' then 4 when 'Facility' then 5 else 6 end as o from typed) group by id",
-        "graph_statistics": f"{BASE},{ALL_NODES}, referrals as ({EDGE_SQL['refers_to']}), every as (select src, dst, edge_type from co_bills " + " ".join(f"union all select src, dst, edge_type from ({EDGE_SQL[k]})" for k in ("bills_for", "treats", "flagged_by", "owned_by", "shares_facility", "shares_bank", "refers_to")) + "), ends as (select src as id from every union select dst from every), n as (select coalesce(t.node_type, 'Unknown') as type, count(*) as n from (select distinct id, node_type from typed) t full join ends using (id) group by 1), e as (select edge_type as type, count(*) as n from every group by 1) select 'node' as kind, type, n from n union all select 'node', 'total', sum(n)::bigint from n union all select 'edge', type, n from e union all select 'edge', 'total', sum(n)::bigint from e",
+        "graph_statistics": f"{BASE},{_co_bills(30)},{ALL_NODES},{_similar('procedure_code', 0.8)}, every as (select src, dst, edge_type from co_bills union all select src, dst, edge_type from similar_billing " +" ".join(f"union all select src, dst, edge_type from ({EDGE_SQL[k]})" for k in ("bills_for", "treats", "flagged_by", "owned_by", "shares_facility", "shares_bank", "refers_to")) + "), ends as (select src as id from every union select dst from every), n as (select coalesce(t.node_type, 'Unknown') as type, count(*) as n from (select distinct id, node_type from typed) t full join ends using (id) group by 1), e as (select edge_type as type, count(*) as n from every group by 1) select 'node' as kind, type, n from n union all select 'node', 'total', sum(n)::bigint from n union all select 'edge', type, n from e union all select 'edge', 'total', sum(n)::bigint from e",
         "metapath_graph": f"{BASE}, s as ({EDGE_SQL['shares_bank']}) select distinct a.src, b.src as dst, 2.0::double as weight from s a join s b on a.dst = b.dst and a.src < b.src",
         "provider_projection": f"{BASE},{GRAPH} select src, dst, w as weight from graph",
         "degree_centrality": f"{BASE},{_co_bills(0)}, every as (select distinct edge_type, src, dst from co_bills union all select distinct 'OWNED_BY', provider_npi, owner_id from ownership), ends as (select edge_type, src as node_id from every union all select edge_type, dst from every), d as (select edge_type, node_id, count(*) as k from ends group by 1, 2) select edge_type, node_id, round(cast(k as double) / (count(*) over (partition by edge_type) - 1), 9) as degree_centrality from d",
@@ -162,7 +169,7 @@ def oracle_sql() -> dict[str, str]:
         "top_risk_providers": f"{BASE},{GRAPH},{RESTART},{PPR} select node_id, round(score, 7) as score from ppr where node_id not in (select entity_npi from exclusions) order by 2 desc, 1 limit {K}",
         "clustering_coefficient": f"{BASE},{GRAPH}, d as (select src, count(*) as d from graph group by 1), t as (select a.src as u, count(*) / 2 as t from graph a join graph b on a.src = b.src and a.dst <> b.dst join graph c on c.src = a.dst and c.dst = b.dst group by 1) select src as node_id, round(coalesce(2.0::double * t / nullif(d * (d - 1), 0), 0), 9) as clustering from d left join t on u = src",
         "ego_network_size": f"{BASE},{GRAPH} select npi as node_id, 1 + count(src) as ego_size from providers left join graph on npi = src group by 1",
-        "distance_to_seeds": f"{BASE},{GRAPH}, bfs as (select node_id, 0 as d from seeds where node_id < '0000000010' union select g.dst, b.d + 1 from bfs b join graph g on g.src = b.node_id where b.d < 12), best as (select node_id, min(d) as d from bfs group by 1) select npi as node_id, cast(coalesce(d, case when npi < '0000000010' and npi in (select entity_npi from exclusions) then 0 end, -1) as bigint) as distance from providers left join best on npi = node_id",
+        "distance_to_seeds": f"{BASE},{GRAPH}, most as (select count(*) as n from nodes), bfs as (select node_id, 0 as d from seeds union select g.dst, b.d + 1 from bfs b join graph g on g.src = b.node_id join most on b.d < most.n), best as (select node_id, min(d) as d from bfs group by 1) select npi as node_id, cast(coalesce(d, case when npi in (select entity_npi from exclusions) then 0 end, -1) as bigint) as distance from providers left join best on npi = node_id",
         "cooccurrence": "with p as (select o_custkey as c, o_orderpriority as x, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey, o_orderpriority) as i from orders) select a.x as a, b.x as b, round(sum(1.0::double / abs(a.i - b.i)), 6) as weight from p a join p b on a.c = b.c and a.i <> b.i and abs(a.i - b.i) <= 3 group by 1, 2",
         "pr_curve": f"with {_scored()},{_points()} select score as threshold, round(cast(pu as double) / nu, 9) as precision, round(coalesce(cast(pu as double) / nullif(pa, 0), 1), 9) as recall from at_scored union all select null, 1, 0",
         "average_precision": f"with {_scored()},{_points()} select {AP} as average_precision from at_scored",
@@ -173,6 +180,23 @@ def oracle_sql() -> dict[str, str]:
         "risk_report": f"with {_scored()}, t as (select *, row_number() over (order by score desc, id) as rank from scored) select id as provider_id, round(score, 9) as risk_score, cast(label as bigint) as is_fraud, rank, cast(sum(label) over (order by rank) as bigint) as cumulative_fraud, round(cast(sum(label) over (order by rank) as double) / rank, 9) as cumulative_precision from t where rank <= {K}",
         "model_comparison": "with " + ", ".join(f"{_scored(b, f'm{b}')},{_points(f'm{b}')}" for b in (3, 7, 9)) + ", every as (" + " union all ".join(f"select 'model_{b}' as model, {AP} as auc_pr, {AUC} as auc_roc, round({_hits(f'm{b}')} / {K}.0::double, 9) as precision_at_k, round({_hits(f'm{b}')} / cast((select sum(label) from m{b}) as double), 9) as recall_at_k from at_m{b}" for b in (3, 7, 9)) + ") select *, row_number() over (order by auc_pr desc, model) = 1 as is_best from every",
     }
+    out |= {
+        "pagerank_by_joins": out["personalized_pagerank"],
+        "core_number": f"{BASE},{GRAPH}, cores as (select src as node_id, count(*) as c, 0 as k from graph group by 1 union all select g.src, list_max(list_transform(list_sort(list(l.c), 'DESC'), lambda x, i: least(x, i))), any_value(l.k) + 1 from cores l join graph g on g.dst = l.node_id where l.k < 60 group by g.src) select node_id, cast(c as bigint) as core from cores where k = 60",
+        "betweenness": f"{BASE},{_co_bills(0)}, e as (select distinct src, dst from co_bills), ids as (select src as node_id from e union select dst from e), walks as (select src as s, dst as t, 1 as d, 1.0::double as n from e union all select w.s, e.dst, any_value(w.d) + 1, sum(w.n) from walks w join e on e.src = w.t group by w.s, e.dst), short as (select s, t, min(d) as d, arg_min(n, d) as n from walks group by 1, 2), b as (select v.t as node_id, sum(v.n * w.n / x.n) as b from short v join short w on w.s = v.t join short x on x.s = v.s and x.t = w.t and x.d = v.d + w.d group by 1) select node_id, round(coalesce(b, 0) / ((select count(*) from ids) - 1) / ((select count(*) from ids) - 2), 9) as betweenness from ids left join b using (node_id)",
+        "eigenvector": f"{BASE},{GRAPH}, steps as (select src, dst from graph union all select node_id, node_id from nodes), eig as (select node_id, 1.0::double as x, 0 as k from nodes union all select s.dst, sum(l.x), any_value(l.k) + 1 from eig l join steps s on s.src = l.node_id where l.k < 10 group by s.dst) select node_id, round(x / sqrt(sum(x * x) over ()), 7) as eigenvector from eig where k = 10",
+        "community_statistics": f"{BASE},{GRAPH}, parts as (select node_id, license_state as community from nodes join providers on npi = node_id), sizes as (select community, count(*) as size, count_if(node_id in (select entity_npi from exclusions)) as bad from parts group by 1) select npi as node_id, coalesce(community, '-1') as community_id, cast(coalesce(size, 0) as bigint) as community_size, round(coalesce(cast(bad as double) / size, 0), 9) as community_fraud_rate from providers left join parts on node_id = npi left join sizes using (community)",
+        "baseline_evaluation": f"{BASE},{ENSEMBLE} select round(avg(ensemble_score) filter (where node_id in (select entity_npi from exclusions)), 6) as mean_positive, round(avg(ensemble_score) filter (where node_id not in (select entity_npi from exclusions)), 6) as mean_negative from ensemble",
+        "predicted_risk": f"{BASE},{GRAPH},{RESTART},{PPR} select npi as node_id, coalesce(round(score, 7), 0) as score from providers left join ppr on npi = node_id",
+        "embedding_lookup": "select lpad(cast(s_suppkey as varchar), 10, '0') as node_id, round(s_acctbal, 9) as e0, cast(s_nationkey as double) as e1, 0.0::double as e2 from supplier where s_suppkey % 10 = 3",
+        "scan_providers": f"{BASE} select npi, provider_name, specialty, license_state, {_hmac('provider_name')} as provider_name_hash, case when provider_type in ('Organization', 'Facility') then 'Provider_Org' else 'Provider_Ind' end as node_type from providers",
+        "scan_claims": f"{BASE} select claim_id, provider_npi, beneficiary_id, date_of_service, round(billed_amount, 4) as billed_amount, {_hmac('beneficiary_id')} as beneficiary_hash from claims",
+        "scan_exclusions": f"{BASE} select entity_npi, exclusion_date, exclusion_source from exclusions",
+        "scan_ownership": f"{BASE} select provider_npi, owner_id, ownership_percentage, {_hmac('owner_id')} as owner_hash from ownership",
+        "scan_bank_accounts": f"{BASE} select provider_npi, account_hash from bank_accounts",
+        "score_sink": f"with {_scored()} select id as provider_id, round(score, 9) as risk_score, round(score / 2, 9) as baseline_score, cast(label as bigint) as label from scored",
+        "json_sink": out["precision_recall_at_k"],
+    }
     wide = out["model_comparison"]
     names = ("auc_pr", "auc_roc", "precision_at_k", "recall_at_k")
     out["metrics_long"] = f"with w as ({wide}) " + " union all ".join(f"select model, '{m}' as metric, {m} as value from w" for m in names)

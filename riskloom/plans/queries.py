@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import columns, privacy
 from riskloom.operators import claim_features, embeddings, graph_algorithms, graph_build, models, ranking, validation
-from riskloom.sources import adapters
+from riskloom.sources import adapters, tables
 
 SALT = "public test salt"
 AS_OF = "2001-06-01"
@@ -91,7 +92,7 @@ def verify_hash(spark, sf):
 
 @query
 def token_lookup(spark, sf):
-    path = f"{graph_algorithms.shared_dir(spark)}/tokens-{__import__('uuid').uuid4().hex}"
+    path = f"{graph_algorithms.shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     return privacy.token_table(adapters.providers(spark, sf), "npi", path, 16).select("id", F.length("token").cast("bigint").alias("n"))
 
 
@@ -236,6 +237,12 @@ def personalized_pagerank(spark, sf):
     return shaped(graph_algorithms.personalized_pagerank(_projection(spark, sf, True), _seeds(spark, sf), rounds=ROUNDS, tolerance=None))
 
 
+@query
+def pagerank_by_joins(spark, sf):
+    """The distributed loop, whatever the size of the graph."""
+    return shaped(graph_algorithms.personalized_pagerank(_projection(spark, sf, True), _seeds(spark, sf), rounds=ROUNDS, tolerance=None, small_edges=0))
+
+
 @query
 def random_walk_restart(spark, sf):
     return shaped(graph_algorithms.random_walk_with_restart(_projection(spark, sf), _seeds(spark, sf), rounds=ROUNDS, tolerance=None))
@@ -303,6 +310,89 @@ def louvain(spark, sf):
     return shaped(graph_algorithms.community_features(graph_algorithms.communities(graph), who, _seeds(spark, sf)))
 
 
+@query
+def community_statistics(spark, sf):
+    """Sizes and rates of a given partition: providers by their state, of those that co-bill."""
+    nodes = graph_algorithms.vertices(_projection(spark, sf))
+    who = adapters.providers(spark, sf).select(F.col("npi").alias("node_id"), F.col("license_state").alias("community"))
+    parts = nodes.join(who, "node_id")
+    return shaped(graph_algorithms.community_features(parts, who.select("node_id"), _seeds(spark, sf)))
+
+
+@query
+def baseline_evaluation(spark, sf):
+    """Mean scores of seeds and of others."""
+    labels = adapters.providers(spark, sf).select(F.col("npi").alias("node_id")).join(_seeds(spark, sf).distinct().withColumn("label", F.lit(1)), "node_id", "left").fillna(0, ["label"])
+    scores = _ensemble(spark, sf).select("node_id", F.col("ensemble_score").alias("score"))
+    return shaped(graph_algorithms.evaluate_scores(scores, labels), 6)
+
+
+@query
+def predicted_risk(spark, sf):
+    """Scores of all providers, 0 where the graph doesn't know them."""
+    scores = shaped(graph_algorithms.personalized_pagerank(_projection(spark, sf, True), _seeds(spark, sf), rounds=ROUNDS, tolerance=None), 7)
+    return graph_algorithms.predict_risk(scores, adapters.providers(spark, sf).select(F.col("npi").alias("node_id")))
+
+
+@query
+def embedding_lookup(spark, sf):
+    """The vectors of the seeds, one column for each dimension."""
+    vectors = spark.read.parquet(f"{sf}/supplier.parquet").select(F.lpad(F.col("s_suppkey").cast("string"), 10, "0").alias("node_id"), F.array(F.col("s_acctbal"), F.col("s_nationkey").cast("double")).alias("vec"))
+    return shaped(embeddings.wide(embeddings.lookup(vectors, _seeds(spark, sf)), "e", 3))
+
+
+# -- sources and sinks: written, read again
+
+
+def _read_again(spark, sf, table, df, load, *columns):
+    folder = f"{graph_algorithms.shared_dir(spark)}/tables-{uuid.uuid4().hex}"
+    tables.write_tables({table: df}, folder)
+    return load(f"{folder}/{table}").select(*columns)
+
+
+@query
+def scan_providers(spark, sf):
+    df = _read_again(spark, sf, "providers", adapters.providers(spark, sf), lambda p: tables.load_providers(spark, p, SALT), "npi", "provider_name", "specialty", "license_state", "provider_name_hash", "node_type")
+    return df
+
+
+@query
+def scan_claims(spark, sf):
+    return shaped(_read_again(spark, sf, "claims", _claims(spark, sf, "beneficiary_id"), lambda p: tables.load_claims(spark, p, SALT), "claim_id", "provider_npi", "beneficiary_id", "date_of_service", "billed_amount", "beneficiary_hash"), 4)
+
+
+@query
+def scan_exclusions(spark, sf):
+    return _read_again(spark, sf, "exclusions", adapters.exclusions(spark, sf), lambda p: tables.load_exclusions(spark, p), "entity_npi", "exclusion_date", "exclusion_source")
+
+
+@query
+def scan_ownership(spark, sf):
+    return shaped(_read_again(spark, sf, "ownership", adapters.ownership(spark, sf), lambda p: tables.load_ownership(spark, p, SALT), "provider_npi", "owner_id", "ownership_percentage", "owner_hash"))
+
+
+@query
+def scan_bank_accounts(spark, sf):
+    return _read_again(spark, sf, "bank_accounts", adapters.bank_accounts(spark, sf), lambda p: tables.load_bank_accounts(spark, p), "provider_npi", "account_hash")
+
+
+@query
+def score_sink(spark, sf):
+    """Scores written as the pipeline writes them, and read again."""
+    path = f"{graph_algorithms.shared_dir(spark)}/scores-{uuid.uuid4().hex}"
+    scores = _scored(spark, sf).select(F.col("id").alias("provider_id"), F.col("score").alias("risk_score"), (F.col("score") / 2).alias("baseline_score"), "label")
+    tables.write_scores(scores, path)
+    return shaped(spark.read.option("header", True).schema(scores.schema).csv(path))
+
+
+@query
+def json_sink(spark, sf):
+    path = f"{graph_algorithms.shared_dir(spark)}/metrics-{uuid.uuid4().hex}"
+    rows = ranking.at_k(_scored(spark, sf), K)
+    tables.write_json(rows, path)
+    return shaped(spark.read.schema(rows.schema).json(path))
+
+
 # -- ranking, of scores that both engines compute alike
 
 
@@ -444,9 +534,7 @@ def focal_loss(spark, sf):
 
 @query
 def metrics_long(spark, sf):
-    from riskloom.sources.tables import long_metrics
-
-    return shaped(long_metrics(model_comparison(spark, sf).drop("is_best")))
+    return shaped(tables.long_metrics(model_comparison(spark, sf).drop("is_best")))
 
 
 def queries() -> dict[str, Query]:
