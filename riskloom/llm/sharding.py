@@ -1,17 +1,24 @@
 """Sharding by size-tiered compaction: small immutable shards, merges of similar sizes, versioned manifests.
 
 A store is a folder: ``data/`` with immutable Parquet shards, ``manifest/v<N>`` with one committed list of live shards for
-each version. ``append`` writes arrivals as small shards. ``compact`` puts the live shards into size tiers, each
-``TIER_FACTOR`` times the last, cuts each tier's shards in order of arrival into runs of about the target size, and writes
-each run of two shards or more as one file. Shards of half the target size or more are done, so rows are rewritten once for
-each tier that they rise at most. A version is committed by renaming a finished manifest to a name that must not
-exist yet, which is atomic; a reader or a crash sees the old list or the new one. ``vacuum`` deletes files that no
-version from the given one on lists. Everything runs as DataFrame operations; the driver handles paths of shards only.
+each version, ``intent/`` with a file for each writer that has not committed yet. ``append`` writes arrivals as small shards.
+``compact`` puts the live shards into size tiers, each ``TIER_FACTOR`` times the last, cuts each tier's shards in order of arrival
+into runs of about the target size, and writes each run of two shards or more as one file, until no run is left. Shards of half
+the target size or more are done, so rows are rewritten once for each tier that they rise at most. ``vacuum`` deletes files that
+no version from the given one on lists and no writer is about to commit.
+
+A version is committed by renaming a finished manifest to a name that must not exist yet; a reader or a crash sees the old list
+or the new one. That needs a file system whose rename is atomic and exclusive, such as HDFS or a local disk; object stores
+(``OBJECT_STORES``) don't give it and are refused. Rows are handled by DataFrame operations; the driver and the windows over a
+manifest handle paths of shards only, 1.6 million of them for 100 TB at the default target size, less at a larger one.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +27,9 @@ from riskloom.llm.common import shared_dir
 
 TARGET_BYTES = 64 << 20
 TIER_FACTOR = 4
+#: After so long a writer that has not committed counts as dead, and its files as garbage.
+INTENT_SECONDS = 7 * 24 * 3600
+OBJECT_STORES = frozenset("s3 s3a s3n gs oss cos cosn wasb wasbs swift".split())
 MANIFEST = "shard string, rows long, bytes long, tier int, born long"
 
 
@@ -32,6 +42,8 @@ class ShardStore:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._conf = spark._jsc.hadoopConfiguration()
         self._fs = self._path(self.path).getFileSystem(self._conf)
+        if (scheme := self._fs.getUri().getScheme()) in OBJECT_STORES:
+            raise ValueError(f"{scheme} renames neither atomically nor exclusively, which commits need")
 
     # -- manifests
 
@@ -60,6 +72,16 @@ class ShardStore:
 
     # -- shards
 
+    @contextmanager
+    def _intent(self, kind: str, base: int) -> Iterator[str]:
+        """The name of a new folder under data/, with an intent for it until its shards are committed. A failure leaves the
+        intent, which keeps the files for a while; they are garbage once it is old."""
+        name = f"{kind}{base + 1:09d}-{uuid.uuid4().hex[:8]}"
+        mark = self._path(f"{self.path}/intent/{name}")
+        self._fs.create(mark, False).close()
+        yield name
+        self._fs.delete(mark, False)
+
     def _listed(self, folder: str, born: int) -> DataFrame:
         """Manifest rows of what was just written to ``folder``: sizes from the files, rows from their footers."""
         files = self.spark.read.parquet(folder).select(F.col("_metadata.file_path").alias("shard"), F.col("_metadata.file_size").alias("bytes"))
@@ -73,9 +95,10 @@ class ShardStore:
     def append(self, arrivals: DataFrame) -> int:
         """Writes arrivals as small shards, at least one for each partition, and commits them. Returns the version."""
         base = max(self.versions(), default=0)
-        folder = f"{self.path}/data/a{base + 1:09d}-{uuid.uuid4().hex[:8]}"
-        arrivals.write.option("compression", "zstd").parquet(folder)
-        return self.commit(self.manifest(base).unionByName(self._listed(folder, base + 1)), base)
+        with self._intent("a", base) as name:
+            folder = f"{self.path}/data/{name}"
+            arrivals.write.option("compression", "zstd").parquet(folder)
+            return self.commit(self.manifest(base).unionByName(self._listed(folder, base + 1)), base)
 
     def runs(self, manifest: DataFrame) -> DataFrame:
         """(shard, run): shards that one merge puts together. The windows run over the shards of a tier, not their rows."""
@@ -85,14 +108,14 @@ class ShardStore:
         sizes = sizes.withColumn("run", F.row_number().over(Window.orderBy("tier", "piece")) - 1)
         return placed.join(sizes, ["tier", "piece"]).select("shard", "run")
 
-    def compact(self, most_passes: int = 8) -> int:
-        """Merges until no tier has a run of two shards left, or ``most_passes`` times. Returns the last version."""
+    def compact(self) -> int:
+        """Merges until no tier has a run of two shards left; each pass leaves fewer shards. Returns the last version."""
         base = max(self.versions(), default=0)
-        for _ in range(most_passes):
+        while True:
             live = self.manifest(base)
             merged = self.runs(live).collect()  # paths only
             if not merged:
-                break
+                return base
             count = 1 + max(r.run for r in merged)
             plan = self.spark.createDataFrame([(r.shard, r.run) for r in merged], "plan_shard string, plan_run long")
             schema = self.spark.read.parquet(merged[0].shard).schema
@@ -100,12 +123,12 @@ class ShardStore:
             names = [F.col(c) for c in schema.names]
             rows = read.select(F.struct(*names).alias("row"), F.col("_metadata.file_path").alias("from_shard"))
             rows = rows.join(F.broadcast(plan) if len(merged) <= 10_000 else plan, F.col("from_shard") == F.col("plan_shard"))
-            folder = f"{self.path}/data/c{base + 1:09d}-{uuid.uuid4().hex[:8]}"
             rows = rows.select("row", F.col("plan_run").alias("run__")).repartitionById(count, F.col("run__").cast("int"))
-            rows.select("row.*", "run__").write.option("compression", "zstd").partitionBy("run__").parquet(folder)
             rest = live.join(plan, F.col("shard") == F.col("plan_shard"), "left_anti")
-            base = self.commit(rest.unionByName(self._listed(folder, base + 1)), base)
-        return base
+            with self._intent("c", base) as name:
+                folder = f"{self.path}/data/{name}"
+                rows.select("row.*", "run__").write.option("compression", "zstd").partitionBy("run__").parquet(folder)
+                base = self.commit(rest.unionByName(self._listed(folder, base + 1)), base)
 
     def read(self, version: int | None = None, with_shard: bool = False) -> DataFrame:
         """The rows of a version; ``with_shard`` adds the path of the shard as ``shard``."""
@@ -115,20 +138,29 @@ class ShardStore:
         rows = self.spark.read.schema(self.spark.read.parquet(shards[0]).schema).parquet(*shards)
         return rows.select("*", F.col("_metadata.file_path").alias("shard")) if with_shard else rows
 
+    def _folder(self, path) -> str:
+        """The folder under data/ that a file's path is in."""
+        return str(path.toString()).split(f"{self._path(self.path).toUri().getPath()}/data/", 1)[-1].split("/", 1)[0]
+
     def vacuum(self, oldest: int | None = None) -> int:
-        """Deletes shards that no version from ``oldest`` (the last by default) on lists, and older manifests."""
-        oldest = oldest or max(self.versions(), default=0)
-        live = set()
-        for v in self.versions():
+        """Deletes shards that no version from ``oldest`` (the last by default) on lists, and older manifests. Files are listed
+        first, then writers, then versions: what a writer commits meanwhile is kept by its intent or by its version."""
+        files, found = self._fs.listFiles(self._path(f"{self.path}/data"), True), []
+        while files.hasNext():
+            path = files.next().getPath()
+            if path.getName().startswith("part-"):
+                found.append(path)
+        intents = self._path(f"{self.path}/intent")
+        marks = list(self._fs.listStatus(intents)) if self._fs.exists(intents) else []
+        writing = {m.getPath().getName() for m in marks if time.time() - m.getModificationTime() / 1000 < INTENT_SECONDS}
+        versions = self.versions()
+        oldest, live = oldest or max(versions, default=0), set()
+        for v in versions:
             if v >= oldest:
                 live |= {r.shard.rpartition("/")[2] for r in self.manifest(v).select("shard").collect()}
             else:
                 self._fs.delete(self._path(f"{self.path}/manifest/v{v:09d}"), True)
-        files, gone = self._fs.listFiles(self._path(f"{self.path}/data"), True), []
-        while files.hasNext():
-            path = files.next().getPath()
-            if path.getName().startswith("part-") and path.getName() not in live:
-                gone.append(path)
+        gone = [p for p in found if p.getName() not in live and self._folder(p) not in writing]
         for path in gone:
             self._fs.delete(path, False)
         return len(gone)
