@@ -2,17 +2,17 @@
 
 Two fingerprints at Hamming distance r are at Manhattan distance r or less once each is mapped to the bit counts
 of its 2-bit segments, so that distance is a lower bound. The counts are held in unary (0, 1, 2 as 00, 01, 11),
-which makes the Manhattan distance one XOR and one bit count. The grid: the 32 segments fall into ``BLOCKS``
-blocks; a Manhattan distance of 2 or less leaves at least ``BLOCKS - 2`` blocks with equal counts, so near pairs
-share the grid cell of one of the block combinations. A cell of more than ``CELL_ROWS`` fingerprints emits no
-pairs: its fingerprints are linked through hubs instead (see :func:`near_links`), which is exact as well.
-
-Growth: with 4 blocks a random pair shares a cell with probability about 1e-6, 7e-8 with 5, 1e-8 with 6; raise
-``blocks`` with the corpus (5 above some 10^8 documents, 6 above 10^9). The result does not depend on it.
+which makes the Manhattan distance one XOR and one bit count. The grid: the 32 segments fall into blocks;
+a Manhattan distance of 2 or less leaves all but 2 blocks with equal counts, so near pairs share the grid cell of one
+of the block combinations. The number of blocks follows the number of fingerprints, so that one of them meets at most
+``CELL_MATES`` others by chance, whatever the corpus (see :func:`blocks_for`); the result does not depend on it. What
+still crowds a cell are real groups: a cell of more than ``CELL_ROWS`` fingerprints emits no pairs, as these would grow with
+the square of the group; its fingerprints are linked through hubs instead (see :func:`near_links`), which is exact as well.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -26,8 +26,11 @@ from riskloom.llm.common import ascii_words, connected_components, slices, writt
 SHINGLE_WORDS = 3
 SEED = 42
 MAX_BITS = 2
-BLOCKS = 4
+LEAST_BLOCKS, MOST_BLOCKS = 4, 16
+CELL_MATES = 4.0
 CELL_ROWS = 64
+#: A fingerprint of over 1 / HOT_SHARE of all rows is hot: its rows are joined in SALTS parts.
+HOT_SHARE, SALTS = 256, 64
 
 
 def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
@@ -76,7 +79,14 @@ def cell_keys(counts: Column, blocks: int) -> list[Column]:
     return [F.xxhash64(F.lit(n), counts.bitwiseAND(F.lit(_signed(sum(masks[b] for b in c))))) for n, c in enumerate(chosen)]
 
 
-def near_links(spark: SparkSession, prints: DataFrame, blocks: int = BLOCKS, cell_rows: int = CELL_ROWS) -> DataFrame:
+def blocks_for(prints: int) -> int:
+    """The fewest blocks with which a fingerprint shares cells with at most ``CELL_MATES`` random others: the counts of a
+    segment agree with probability 3/8, those of a cell's segments all at once with its power."""
+    chance = lambda b: math.comb(b, MAX_BITS) * (3 / 8) ** (32 * (b - MAX_BITS) / b)
+    return next((b for b in range(LEAST_BLOCKS, MOST_BLOCKS) if prints * chance(b) <= CELL_MATES), MOST_BLOCKS)
+
+
+def near_links(spark: SparkSession, prints: DataFrame, blocks: int = LEAST_BLOCKS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(a, b): links that connect exactly the fingerprints that chains of ``MAX_BITS`` or fewer differing bits connect.
 
     ``prints(fp)`` are distinct. Cells of up to ``cell_rows`` rows give their verified pairs. Fingerprints of larger
@@ -99,7 +109,7 @@ def near_links(spark: SparkSession, prints: DataFrame, blocks: int = BLOCKS, cel
     return close.select("a", "b").union(starred).distinct()
 
 
-def near_duplicates(docs: DataFrame, blocks: int = BLOCKS, cell_rows: int = CELL_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, blocks: int | None = None, cell_rows: int = CELL_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id, component) for every row of ``docs``.
 
     component: one fingerprint of the component, the same for all its rows. component_id: the smallest id reachable over links of ``MAX_BITS`` or fewer differing bits, itself included.
@@ -108,14 +118,19 @@ def near_duplicates(docs: DataFrame, blocks: int = BLOCKS, cell_rows: int = CELL
     names; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    prints = written(spark, with_fingerprints(docs, id_col, text_col), "simhash-prints")
-    first = written(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    labels = connected_components(spark, near_links(spark, first.select("fp"), blocks, cell_rows))
+    prints = written(spark, with_fingerprints(docs, id_col, text_col).withColumn("salt", F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.lit(SALTS)).cast("int")), "simhash-prints")
+    first = written(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    rows, distinct = first.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    labels = connected_components(spark, near_links(spark, first.select("fp"), blocks or blocks_for(distinct), cell_rows))
     joined = labels.join(first, F.col("node") == F.col("fp")).select("fp", "label", "first_id")
     least = joined.groupBy("label").agg(F.min("first_id").alias("least_id"))
     linked = joined.join(least, "label").select("fp", "label", "least_id")
     ids = first.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"), F.coalesce("label", "fp").alias("component"))
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id", "component")
+    hot = [r.fp for r in first.where(F.col("n") * HOT_SHARE > rows).select("fp").collect()]  # fewer than HOT_SHARE
+    is_hot = F.col("fp").isin(hot) if hot else F.lit(False)
+    salted = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(is_hot, SALTS - 1).otherwise(0))))
+    own = prints.withColumn("salt", F.when(is_hot, F.col("salt")).otherwise(0))
+    return own.join(salted, ["fp", "salt"]).select("doc_id", "fp", "component_id", "component")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -123,14 +138,26 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row for each near-duplicate component: that of the smallest id (of rows with that id, one). A
-    component whose ids are all null keeps one row of its smallest text, a null text only if it has no other."""
+    """``docs`` with one row for each near-duplicate component: that of the smallest id. Of several rows with that id the
+    one of the component is kept, and of several of these that of the smallest text. A component whose ids are all null
+    keeps one row of its smallest text, a null text only if it has no other."""
+    spark = docs.sparkSession
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    found = near_duplicates(docs, **options)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("component_id").alias("kept_id")).distinct()
-    own = docs.join(kept, docs[id_col] == F.col("kept_id"), "left_semi").dropDuplicates([id_col])
+    found = written(spark, near_duplicates(docs, **options).select("doc_id", "fp", "component_id", "component").distinct(), "simhash-found")
+    spread = found.where("doc_id is not null").groupBy("doc_id").agg(F.count_distinct("component").alias("k"))
+    split = written(spark, spread.where("k > 1").select(F.col("doc_id").alias("split_id__")), "simhash-split")
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("component_id").alias("kept_id__"), "component", "fp")
+    plain = kept.select("kept_id__").distinct().join(split, F.col("kept_id__") == F.col("split_id__"), "left_anti")
+    own = docs.join(plain, docs[id_col] == F.col("kept_id__"), "left_semi").dropDuplicates([id_col])
+    # ids with texts of several components, and rows without an id: told apart by their texts' fingerprints
+    several = docs.join(split, docs[id_col] == F.col("split_id__"), "left_semi")
+    texts = with_fingerprints(several.select(text_col, F.struct(id_col, text_col).alias("key")).distinct(), "key", text_col)
+    texts = texts.select(F.col(f"doc_id.{id_col}").alias("kept_id__"), F.col(f"doc_id.{text_col}").alias("kept_text__"), "fp").join(kept, ["kept_id__", "fp"])
+    least = texts.groupBy("component").agg(F.min_by(F.struct("kept_id__", "kept_text__"), F.struct(F.col("kept_text__").isNull(), F.col("kept_text__"))).alias("k"))
+    least = least.select("k.kept_id__", "k.kept_text__")
+    chosen = several.join(least, (docs[id_col] == F.col("kept_id__")) & docs[text_col].eqNullSafe(F.col("kept_text__")), "left_semi").dropDuplicates([id_col, text_col])
     nameless = docs.where(docs[id_col].isNull())
     alone = found.where("component_id is null").select("fp", "component").distinct()
     texts = with_fingerprints(nameless.select(text_col).distinct(), text_col, text_col).join(alone, "fp")
-    least = texts.groupBy("component").agg(F.min("doc_id").alias("kept_text"))
-    return own.union(nameless.join(least, docs[text_col].eqNullSafe(F.col("kept_text")), "left_semi").dropDuplicates([text_col]))
+    least = texts.groupBy("component").agg(F.min("doc_id").alias("kept_text__"))
+    return own.union(chosen).union(nameless.join(least, docs[text_col].eqNullSafe(F.col("kept_text__")), "left_semi").dropDuplicates([text_col]))
