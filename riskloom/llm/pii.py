@@ -136,7 +136,7 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[s
         out.append(f"goes before {before}")
     if at:
         parts = re.split(r"@|\s*[\[(]at[\])]\s*", span, flags=re.I)
-        out += ["at", f"at parts={len(parts)}", f"dot after={bool(re.search(r'\.|[\[(]dot[\])]', parts[-1], re.I))}", f"blank in={' ' in span and '[' not in span and '(' not in span}"]
+        out += ["at", f"at parts={len(parts)}", f"words left={len(parts[0].split())}", f"dot after={bool(re.search(r'\.|[\[(]dot[\])]', parts[-1], re.I))}", f"blank in={' ' in span and '[' not in span and '(' not in span}"]
     else:
         letters = sum(c.isalpha() for c in span)
         out += [f"luhn={len(digits) >= 13 and luhn(digits)}", f"letters={min(letters, 6)}"]
@@ -189,6 +189,8 @@ def _example(rng: random.Random) -> tuple[str, str | None]:
         return rng.choice([f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}"]), kind
     if kind == "iban":
         country, body = rng.choice(["DE", "FR", "ES", "NL", "GB"]), d(rng.choice([14, 18, 20]))
+        letter = lambda: rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        body = rng.choice([body, body, "".join(letter() for _ in range(4)) + d(rng.choice([10, 14])), d(15) + letter() + d(7)])
         check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
         plain = f"{country}{check:02d}{body}"
         return rng.choice([plain, " ".join(plain[k : k + 4] for k in range(0, len(plain), 4))]), kind
