@@ -2,6 +2,7 @@
 extra columns whose names clash with the operators' own."""
 
 import hashlib
+import os
 import re
 import time
 import zlib
@@ -104,6 +105,20 @@ def test_representatives_without_ids(spark):
     assert Counter(map(tuple, kept)) == Counter([(None, None), (7, prose(7))])
 
 
+def test_representatives_of_one_id_in_several_components(spark):
+    data = [(1, prose(5)), (1, prose(6)), (2, prose(6)), (1, prose(6)), (1, None), (4, prose(5)), (None, prose(5)), (8, prose(8)), (8, prose(8))]
+    kept = simhash.keep_representatives(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(1, prose(5)), (1, prose(6)), (1, None), (8, prose(8))])
+
+
+def test_blocks_follow_the_count(spark):
+    blocks = [simhash.blocks_for(n) for n in (0, 10**6, 10**8, 10**10)]
+    assert blocks == sorted(blocks) and blocks[1] == 4 < blocks[2] < blocks[3] < simhash.MOST_BLOCKS
+    hot = spark.createDataFrame([(k, prose(1)) for k in range(2000)] + [(k, prose(k)) for k in range(2000, 2040)], "doc_id long, text string")
+    got = simhash.near_duplicates(hot.repartition(6)).collect()
+    assert len(got) == 2040 and {r.component_id for r in got if r.doc_id < 2000} == {0}
+
+
 @pytest.mark.parametrize("cell_rows", [1, 3, 64])
 @pytest.mark.parametrize("blocks", [4, 5])
 def test_links_of_crowded_cells(spark, cell_rows, blocks):
@@ -422,6 +437,58 @@ def test_sharding_round_trip(spark, docs, tmp_path):
     assert store.vacuum() > 0 and store.read().count() == 360 and store.versions() == [last]
 
 
+def test_vacuum_beside_a_writer(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "store"), target_bytes=40_000)
+    rows = lambda k: spark.createDataFrame([(k * 10 + i, prose(k * 10 + i)) for i in range(10)], "doc_id long, text string").coalesce(1)
+    for k in range(3):
+        store.append(rows(k))
+    store.compact()
+    base = max(store.versions())
+    with store._intent("a", base) as name:  # a second writer has written its files and not committed yet
+        folder = f"{store.path}/data/{name}"
+        rows(5).write.parquet(folder)
+        gone = store.vacuum()
+        assert gone > 0
+        store.commit(store.manifest(base).unionByName(store._listed(folder, base + 1)), base)
+    assert store.vacuum() == 0 and sorted(r.doc_id for r in store.read().collect()) == [*range(30), *range(50, 60)]
+    with pytest.raises(ZeroDivisionError), store._intent("a", base + 1) as name:
+        rows(6).write.parquet(f"{store.path}/data/{name}")
+        1 / 0
+    assert store.vacuum() == 0 and store.read().count() == 40  # kept while the writer may still live
+    for mark in (tmp_path / "store" / "intent").iterdir():
+        os.utime(mark, (1, 1))
+    assert store.vacuum() == 1 and store.read().count() == 40
+
+
+def brute_runs(manifest, target):
+    """Runs of two shards or more, by tier, in order of arrival."""
+    out = []
+    for tier in sorted({m["tier"] for m in manifest} - {0}):
+        own = sorted((m for m in manifest if m["tier"] == tier), key=lambda m: (m["born"], m["shard"]))
+        pieces, total = defaultdict(list), 0
+        for m in own:
+            pieces[total // target].append(m["shard"])
+            total += m["bytes"]
+        out += [set(p) for p in pieces.values() if len(p) > 1]
+    return out
+
+
+def test_runs_and_tiers_against_brute_force(spark, tmp_path):
+    target = 1000
+    store = sharding.ShardStore(spark, str(tmp_path / "store"), target_bytes=target)
+    rng = np.random.default_rng(4)
+    sizes = [*map(int, rng.integers(1, 1200, 60)), 500, 499, 125, 124, 1]
+    df = spark.createDataFrame([(f"s{i:03d}", 1, n, i // 7) for i, n in enumerate(sizes)], "shard string, rows long, bytes long, born long")
+    manifest = [r.asDict() for r in df.withColumn("tier", store._tier(F.col("bytes"))).collect()]
+    for m in manifest:
+        expected = next(t for t in range(20) if m["bytes"] * 4**t >= target / 2)
+        assert m["tier"] == expected
+    found = defaultdict(set)
+    for r in store.runs(spark.createDataFrame([tuple(m[c.split()[0]] for c in sharding.MANIFEST.split(", ")) for m in manifest], sharding.MANIFEST)).collect():
+        found[r.run].add(r.shard)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, brute_runs(manifest, target))) and sorted(found) == list(range(len(found)))
+
+
 # -- secrets and personal data
 
 
@@ -449,6 +516,26 @@ def test_secrets(spark, docs):
     assert all((r.s >= secret_scan.LEAST_RATIO) == (r.y == 1) for r in score)
 
 
+def test_markov_ratio_on_strings_of_another_source(spark):
+    """Keys from a generator and identifiers of the standard library, neither made as the training samples are."""
+    import base64
+    import socket
+    import ssl
+    import tokenize
+    import unittest.mock
+
+    rng = np.random.default_rng(12)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    keys = [base64.b64encode(rng.bytes(24)).decode() for _ in range(100)] + [rng.bytes(20).hex() for _ in range(100)] + ["".join(rng.choice(letters, 32)) for _ in range(100)]
+    names = sorted({n for m in (os, socket, ssl, tokenize, unittest.mock, spark) for n in dir(m) if len(n) >= 12})
+    plain = [f"{a}_{b}{k}" for k, (a, b) in enumerate(zip(names, names[1:], strict=False))]
+    ratios = secret_scan.train(secret_scan.labelled_samples(spark))
+    rows = spark.createDataFrame([(t, 1) for t in keys] + [(t, 0) for t in plain], "t string, y int").select("y", (secret_scan.mean_ratio(F.col("t"), ratios) >= secret_scan.LEAST_RATIO).alias("found")).collect()
+    recall = np.mean([r.found for r in rows if r.y])
+    wrong = np.mean([r.found for r in rows if not r.y])
+    assert len(plain) > 80 and recall >= 0.95 and wrong <= 0.05, (recall, wrong)
+
+
 def brute_pii(t):
     s = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     s += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
@@ -473,6 +560,68 @@ def test_personal_data(spark, docs):
     assert pii.scan(docs.limit(0), model).count() == 0
 
 
+def test_decoding_against_all_segmentations():
+    """The greatest total over every set of non-overlapping candidates and types, by recursion without a table."""
+    rng = np.random.default_rng(7)
+    names = {f"f{k}": k for k in range(12)}
+    for _ in range(60):
+        model = pii.SemiCrf(names, rng.normal(0.0, 1.0, (12, len(pii.TYPES))))
+        n = int(rng.integers(1, 9))
+        tokens = [(3 * k, 3 * k + 2) for k in range(n)]
+        found = [(i, j, [f"f{int(x)}" for x in rng.integers(0, 12, 3)]) for i in range(n) for j in range(i + 1, n + 1) if rng.random() < 0.6]
+        worth = {(i, j, t): float(sum(model.weights[names[f]][t] for f in fs)) for i, j, fs in found for t in range(len(pii.TYPES))}
+
+        def best(at):
+            if at >= n:
+                return 0.0
+            return max([best(at + 1), *(w + best(j) for (i, j, _), w in worth.items() if i == at)])
+
+        real, pii.candidates = pii.candidates, lambda text, own, found=found: found
+        try:
+            got = model.decode(" " * 30, tokens)
+        finally:
+            pii.candidates = real
+        place = {a: k for k, (a, _) in enumerate(tokens)}
+        ends = {b: k + 1 for k, (_, b) in enumerate(tokens)}
+        total = sum(worth[place[a], ends[b], pii.TYPES.index(k)] for a, b, k in got)
+        assert total == pytest.approx(best(0)) and all(x[1] <= y[0] for x, y in zip(got, got[1:], strict=False))
+
+
+SENTENCES = [
+    ("Please write to anna.schmidt [at] uni-mail [dot] org before Monday.", ["anna.schmidt [at] uni-mail [dot] org"]),
+    ("Her address was k.oneill(at)post.example.net, she said.", ["k.oneill(at)post.example.net"]),
+    ("My phone is 415-555-2671 and I am home after six.", ["415-555-2671"]),
+    ("Call the office at (212) 555-0199 for details.", ["(212) 555-0199"]),
+    ("Dial 020.555.0147 or come by.", ["020.555.0147"]),
+    ("The SSN 219-09-9999 was on the form.", ["219-09-9999"]),
+    ("He gave his social security number, 078-05-1120, to a stranger.", ["078-05-1120"]),
+    ("Transfer it to DE89 3704 0044 0532 0130 00 by Friday.", ["DE89 3704 0044 0532 0130 00"]),
+    ("IBAN GB82WEST12345698765432 belongs to them.", ["GB82WEST12345698765432"]),
+    ("Account: FR1420041010050500013M02606.", ["FR1420041010050500013M02606"]),
+    ("The card 4111.1111.1111.1111 was declined.", ["4111.1111.1111.1111"]),
+    ("Pay with 5500-0000-0000-0004 please.", ["5500-0000-0000-0004"]),
+    ("Server 10.0.12.254 did not answer.", ["10.0.12.254"]),
+    ("Mail bob@example.com or sue@example.org.", ["bob@example.com", "sue@example.org"]),
+    ("Reach me under +44 20 7946 0958 any time.", ["+44 20 7946 0958"]),
+    ("Version 2.10.4 was released on 2021-03-04 for $1,299.00.", []),
+    ("Order 20231105 has 12 items, 7 of them blue.", []),
+    ("The years 1914-1918 and 1939-1945 are on page 233.", []),
+    ("At 12:45:10 the counter stood at 1,234,567.", []),
+    ("Chapter 4.2.1.10 has 300.400.10.20 as a label.", ["4.2.1.10"]),
+]
+
+
+def test_personal_data_in_sentences_written_by_hand():
+    """None of them comes from the training generator."""
+    model = pii.fit()
+    wanted = got = right = 0
+    for text, spans in SENTENCES:
+        base, every = pii.find(text, model)
+        found = {text[a:b] for a, _, b, _ in every}
+        wanted, got, right = wanted + len(spans), got + len(found), right + len(found & set(spans))
+    assert right / wanted >= 0.9 and right / max(1, got) >= 0.9, (wanted, got, right)
+
+
 def test_windows_decode_as_the_whole_text():
     model = pii.fit()
     whole = lambda t: model.decode(t, pii.tokens_of(t, 0, len(t)))
