@@ -24,7 +24,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the mix draws it."""
+    """Takes each document as often as the mix's shards draw it. The shards stay as the result's partitions, each in its shuffled
+    order, and so as the files that the next stage reads; only the column with their number goes."""
     return mixing.mix(docs).drop("mix_shard")
 
 

@@ -469,8 +469,11 @@ def structural_embedding(spark, sf):
 
 @query
 def metapath_embedding(spark, sf):
+    """All default metapaths over the whole graph."""
     nodes, edges = _graph(spark, sf)
-    return embeddings.metapath(nodes.where("node_type in ('Provider', 'BankAccount')"), edges.where("edge_type = 'SHARES_BANK_ACCOUNT'"), (("Provider", "BankAccount", "Provider"),), 8, 5, 10)
+    nodes = graph_algorithms.written(nodes.select("id", "node_type"), "nodes")
+    edges = graph_algorithms.written(edges.select("src", "dst").distinct(), "edges")
+    return embeddings.metapath(nodes, edges, dimensions=8, length=5, per_node=10)
 
 
 @query
@@ -520,6 +523,19 @@ def graph_network(spark, sf):
     return models.graph_forward(features, _co_billing(spark, sf).select("src", "dst", "edge_type"), weights)
 
 
+@query
+def trained_network(spark, sf):
+    """Scores of the network trained end to end on the seeds."""
+    df = _labelled(spark, sf)
+    features = df.select("node_id", F.array(F.log1p("total_claims"), "weekend_ratio", "high_value_ratio", F.lit(1.0)).alias("vec"))
+    return models.train_network(features, _co_billing(spark, sf).select("src", "dst", "edge_type"), df.select("node_id", "label"), epochs=5)[1]
+
+
+@query
+def embedding_ensemble(spark, sf):
+    return embeddings.ensemble(_projection(spark, sf))
+
+
 @query
 def link_prediction(spark, sf):
     graph = _projection(spark, sf)

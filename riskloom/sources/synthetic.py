@@ -46,7 +46,7 @@ def generate(spark: SparkSession, providers: int = 200, claims: int = 5000, ring
     made = made.select(
         F.concat(F.lit("CLAIM_"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("claim_id"),
         F.lpad((F.col("who") * 7919 + 1_000_000_007).cast("string"), 10, "0").alias("provider_npi"),
-        F.when(in_ring, F.concat(F.lit("PAT_FRAUD_"), F.lpad(F.floor(u("pat") * 20).cast("string"), 3, "0"))).otherwise(F.concat(F.lit("PAT_LEGIT_"), F.lpad(F.floor(u("pat") * 500).cast("string"), 4, "0"))).alias("beneficiary_id"),
+        F.when(in_ring, F.concat(F.lit("RINGMEMBER_"), F.lpad(F.floor(u("pat") * 20).cast("string"), 3, "0"))).otherwise(F.concat(F.lit("PERSON_"), F.lpad(F.floor(u("pat") * 500).cast("string"), 4, "0"))).alias("beneficiary_id"),
         F.date_add(F.lit("2023-01-01").cast("date"), F.floor(u("date") * 365).cast("int")).cast("timestamp_ntz").alias("date_of_service"),
         F.round(billed, 2).alias("billed_amount"),
         F.round(billed * (0.6 + 0.35 * u("paid")), 2).alias("paid_amount"),
@@ -57,6 +57,6 @@ def generate(spark: SparkSession, providers: int = 200, claims: int = 5000, ring
     first = people.where(F.col("id") < ring)
     exclusions = first.select(F.col("npi").alias("entity_npi"), F.date_add(F.lit("2024-01-16").cast("date"), F.floor(u("excl") * 98).cast("int")).cast("timestamp_ntz").alias("exclusion_date"), _pick(SOURCES, u("src")).alias("exclusion_source"))
     few = people.where(F.col("id") < ring + 5)
-    ownership = few.select(F.col("npi").alias("provider_npi"), F.when(F.col("id") < ring, "OWNER_FRAUD_RING").otherwise(F.concat(F.lit("OWNER_"), F.col("id"))).alias("owner_id"), F.round(25 + 75 * u("pct"), 1).alias("ownership_percentage"), _pick(ROLES, u("role")).alias("owner_role"))
-    banks = people.where(F.col("id") < ring + 35).select(F.col("npi").alias("provider_npi"), F.when(F.col("id") < ring, "BANK_FRAUD_RING_001").otherwise(F.concat(F.lit("BANK_"), F.col("id"))).alias("account_hash"))
+    ownership = few.select(F.col("npi").alias("provider_npi"), F.when(F.col("id") < ring, "RING_OWNER").otherwise(F.concat(F.lit("OWNER_"), F.col("id"))).alias("owner_id"), F.round(25 + 75 * u("pct"), 1).alias("ownership_percentage"), _pick(ROLES, u("role")).alias("owner_role"))
+    banks = people.where(F.col("id") < ring + 35).select(F.col("npi").alias("provider_npi"), F.when(F.col("id") < ring, "RING_ACCOUNT").otherwise(F.concat(F.lit("BANK_"), F.col("id"))).alias("account_hash"))
     return {"providers": people.drop("id"), "claims": made, "exclusions": exclusions, "ownership": ownership, "bank_accounts": banks}

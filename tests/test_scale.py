@@ -57,6 +57,27 @@ def test_contributions_add_up(spark):
         assert models.explain(model, df, 2).first().feature == "x"
 
 
+def test_network_training(spark):
+    rng = np.random.default_rng(3)
+    names = [f"n{k}" for k in range(24)]
+    features = spark.createDataFrame([(n, [float(x) for x in rng.normal(size=2)] + [1.0]) for n in names], "node_id string, vec array<double>")
+    edges = spark.createDataFrame([(names[i], names[j], "AB"[(i + j) % 2]) for i in range(24) for j in rng.integers(0, 24, 2).tolist() if i != j], "src string, dst string, edge_type string")
+    labels = spark.createDataFrame([(n, int(k < 8)) for k, n in enumerate(names[:20])], "node_id string, label int")
+    shares = models.written(models.heard_shares(edges), "shares")
+    inputs = models.written(models._gathered(features, shares, ["A", "B"], 3), "inputs")
+    weights = [rng.normal(size=(9, 3)), rng.normal(size=(9, 2)), rng.normal(size=3)]
+    _, slopes = models.network_gradients(inputs, labels, shares, ["A", "B"], weights)
+    for k, at in ((0, (1, 2)), (0, (5, 0)), (1, (3, 1)), (2, (2,))):  # against differences of the loss
+        step = 1e-5
+        up, down = [w.copy() for w in weights], [w.copy() for w in weights]
+        up[k][at] += step
+        down[k][at] -= step
+        loss = [models.network_gradients(inputs, labels, shares, ["A", "B"], w)[0] for w in (up, down)]
+        assert slopes[k][at] == pytest.approx((loss[0] - loss[1]) / 2 / step, abs=1e-6)
+    _, scores, losses = models.train_network(features, edges, labels, 4, 3, epochs=4)
+    assert losses[-1] < losses[0] and scores.count() == 24 and scores.where("score < 0 or score > 1").isEmpty()
+
+
 def test_link_pretraining(spark):
     pairs = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "ab" for i in range(10) for j in range(10) if i != j]
     edges = spark.createDataFrame(pairs, "src string, dst string, weight double")
