@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from riskloom.llm import mixing, quality, queries, simhash
 from riskloom.llm.common import table
-from tests.llm.test_operators import brute_components, brute_fingerprint, brute_hits
+from tests.llm.test_operators import brute_components, brute_fingerprint, brute_hits, brute_mix
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -26,8 +26,9 @@ def test_pipeline(spark):
         first[c] = min(first.get(c, i), i)
     items = [(r.item_id, r.text) for r in table(spark, SMALL, "benchmark").collect()]
     clean = [i for i in sorted(first.values()) if not brute_hits(docs[i].text, items)[-1]]
-    left = table(spark, SMALL, "documents").where("false").union(spark.createDataFrame([docs[i] for i in clean], table(spark, SMALL, "documents").schema))
-    copies = Counter({r.doc_id: r.copies for r in mixing.plan(left).collect() if r.copies})
+    copies = Counter()
+    for (_, i, _, _), n in brute_mix([(i, docs[i].text, docs[i].lang, docs[i].source, docs[i].n_chars) for i in clean], mixing.SHARD_WORDS).items():
+        copies[i] += n
     got = corpus_pipeline.run(spark, SMALL).collect()
     assert Counter(r.doc_id for r in got) == copies
     assert all(r.text == docs[r.doc_id].text for r in got)
