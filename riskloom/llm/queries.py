@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontaminate, html_extract, katz, mixing, pii, quality, secret_scan, sharding, simhash, toxicity
+from riskloom.llm import chat_format, decontaminate, html_extract, katz, mixing, pii, quality, secret_scan, sharding, simhash, toxicity
 from riskloom.llm.common import table
 
 
@@ -58,10 +58,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_clauses")
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted and read back."""
+    said = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"select * from values (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') as t(conv_id, turn, role, text)")
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_format.digest(conversations, chat_format.windows(conversations))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_sharding, op2_secrets, op3_katz, op4_quality, op5_html, op6_pii, op7_simhash, op8_mixing, op9_decontamination, op10_toxicity)
+    own = (op1_sharding, op2_secrets, op3_katz, op4_quality, op5_html, op6_pii, op7_simhash, op8_mixing, op9_decontamination, op10_toxicity, op11_chat)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
