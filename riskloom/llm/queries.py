@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat_format, decontaminate, html_extract, katz, mixing, pii, quality, secret_scan, sharding, simhash, toxicity
+from riskloom.llm import chat_format, decontaminate, html_extract, katz, mixing, periodic, pii, quality, secret_scan, sharding, simhash, toxicity, vector_codes
 from riskloom.llm.common import table
 
 
@@ -66,10 +66,20 @@ def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(conversations, chat_format.windows(conversations))
 
 
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors' codes, by codebooks of 256 entries for four parts after four rounds."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents, of which a tenth is made periodic by their ids."""
+    return periodic.digest(periodic.scan(table(spark, sf_dir, "documents"), periodic.planted))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_sharding, op2_secrets, op3_katz, op4_quality, op5_html, op6_pii, op7_simhash, op8_mixing, op9_decontamination, op10_toxicity, op11_chat)
+    own = (op1_sharding, op2_secrets, op3_katz, op4_quality, op5_html, op6_pii, op7_simhash, op8_mixing, op9_decontamination, op10_toxicity, op11_chat, op12_codes, op13_periodic)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
