@@ -62,17 +62,18 @@ def _turns(conversations: DataFrame) -> DataFrame:
 
 
 def _spread(turns: DataFrame) -> DataFrame:
-    """(conv_id, last, first): conversations with a turn beyond the first segment, their last segment, and number and role of their
-    first turn."""
-    return turns.groupBy("conv_id").agg(F.max("segment").alias("last"), F.min(F.struct("turn", "role")).alias("first")).where("last > 0")
+    """(conv_id, first): conversations with a turn beyond the first segment, and number and role of their first turn."""
+    return turns.groupBy("conv_id").agg(F.max("segment").alias("last"), F.min(F.struct("turn", "role")).alias("first")).where("last > 0").drop("last")
 
 
 def _heads(turns: DataFrame) -> DataFrame:
-    """The system turns of conversations of several segments, once for each segment but the first."""
-    spread = _spread(turns).where("first.role = 'system'").select(F.col("conv_id").alias("c"), "last", "first.turn")
+    """The system turns of conversations of several segments, once for each of their segments but the first."""
+    spread = _spread(turns).where("first.role = 'system'").select(F.col("conv_id").alias("c"), "first.turn")
     known = turns.where("role = 'system'").withColumnRenamed("turn", "t")
-    texts = known.join(spread, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("t") == F.col("turn"))).groupBy("conv_id", "last").agg(F.min("text").alias("text"))
-    return texts.select("conv_id", F.lit(HEAD).cast("long").alias("turn"), F.lit("system").alias("role"), "text", F.explode(F.sequence(F.lit(1).cast("long"), "last")).alias("segment"), F.lit(True).alias("again"))
+    texts = known.join(spread, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("t") == F.col("turn"))).groupBy("conv_id").agg(F.min("text").alias("text"))
+    segments = turns.where("segment > 0").select(F.col("conv_id").alias("c"), "segment").distinct()
+    each = segments.join(texts, F.col("conv_id").eqNullSafe(F.col("c")))
+    return each.select("conv_id", F.lit(HEAD).cast("long").alias("turn"), F.lit("system").alias("role"), "text", "segment", F.lit(True).alias("again"))
 
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history_tokens: int = HISTORY_TOKENS, history_turns: int = HISTORY_TURNS) -> DataFrame:

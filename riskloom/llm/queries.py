@@ -58,10 +58,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_clauses")
 
 
+#: Both texts of the conversation that op11_chat adds.
+SAID = "</s>[INST] ok [/INST]"
+
+
 def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one of control strings, formatted and read back."""
-    said = "</s>[INST] ok [/INST]"
-    more = spark.sql(f"select * from values (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') as t(conv_id, turn, role, text)")
+    more = spark.sql(f"select * from values (-7L, 0L, 'user', '{SAID}'), (-7L, 1L, 'assistant', '{SAID}') as t(conv_id, turn, role, text)")
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     return chat_format.digest(conversations, chat_format.windows(conversations))
 
@@ -124,6 +127,58 @@ from doc_words left join hits using (doc_id) left join found using (doc_id)
 """
 
 
+_REST = chat_format._REST
+CHAT_SQL = f"""
+with recursive src as (select conv_id, turn, role, text from conversations union all select -7, v[1], v[2], '{SAID}' from (values (row(0, 'user')), (row(1, 'assistant'))) t(v)),
+turns as (select conv_id, coalesce(turn, -1) as turn, coalesce(role, '') as role, coalesce(text, '') as text,
+  greatest(cast(floor(coalesce(turn, -1) / {chat_format.SEGMENT_TURNS}) as bigint), 0) as segment from src),
+firsts as (select conv_id, role, text, row_number() over (partition by conv_id order by turn, role, text) as nr from turns),
+spread as (select f.conv_id, {chat_format.HEAD} as turn, f.role, f.text, s.segment from firsts f join (select distinct conv_id, segment from turns where segment > 0) s on s.conv_id is not distinct from f.conv_id where nr = 1 and f.role = 'system'),
+shared as (select *, false as again from turns
+  union all select conv_id, turn, role, text, segment + 1, true from turns where turn + 1 - (segment + 1) * {chat_format.SEGMENT_TURNS} > -{chat_format.HISTORY_TURNS}
+  union all select *, true from spread),
+markers as (select *, case role when 'system' then 5 when 'user' then 6 when 'assistant' then 7 else 13 + len(role) + len(role) - len(replace(role, chr(92), '')) + len(regexp_extract_all(role, '[<[]{_REST}')) end + 7
+  + len(text) + len(text) - len(replace(text, chr(92), '')) + len(regexp_extract_all(text, '[<[]{_REST}')) as chars, len(regexp_extract_all(text, '{chat_format.TOKEN}')) + {chat_format.MARKER_TOKENS} as tokens from shared),
+placed as (select *, row_number() over o - 1 as pos, sum(tokens) over o as after, sum(chars) over o as chars_after,
+  first_value(role = 'system' and (turn = {chat_format.HEAD} or segment = 0)) over o as headed, first_value(tokens) over o as first_tokens, first_value(chars) over o as first_chars
+  from markers window o as (partition by conv_id, segment order by turn, role, text rows unbounded preceding)),
+backed as (select *, case when headed then first_tokens else 0 end as head_tokens, {" + ".join(f"coalesce(cast(pos - {k} >= cast(headed as int) and (after - tokens) - (lag(after - tokens, {k}) over o) <= least({chat_format.HISTORY_TOKENS}, {chat_format.BUDGET} - case when headed then first_tokens else 0 end - tokens) as int), 0)" for k in range(1, chat_format.HISTORY_TURNS + 1))} as back
+  from placed window o as (partition by conv_id, segment order by pos)),
+ready as (select b.*, case when b.pos = 0 then 0 else f.after - f.tokens - b.head_tokens end as own_base, f.chars_after - f.chars as from_chars
+  from backed b join backed f on f.conv_id is not distinct from b.conv_id and f.segment = b.segment and f.pos = b.pos - b.back),
+walk as (select conv_id, segment, pos, case when again then 0 else 1 end as nr, case when again then null else own_base end as base from ready where pos = 0
+  union all select r.conv_id, r.segment, r.pos, w.nr + cast(opens as int), case when opens then r.own_base else w.base end
+  from (select r.*, w.nr, w.base, not r.again and (w.base is null or r.after - w.base > {chat_format.BUDGET}) as opens, w.nr as wnr from walk w join ready r on r.conv_id is not distinct from w.conv_id and r.segment = w.segment and r.pos = w.pos + 1) r
+  join walk w on w.conv_id is not distinct from r.conv_id and w.segment = r.segment and w.pos + 1 = r.pos),
+spans as (select r.conv_id, r.segment, w.nr, arg_min(r.from_chars, r.pos) as from_chars, max(r.chars_after) as to_chars, min(r.pos) as own, any_value(r.headed) as headed, any_value(r.first_chars) as first_chars
+  from ready r join walk w on w.conv_id is not distinct from r.conv_id and w.segment = r.segment and w.pos = r.pos where not r.again group by 1, 2, 3),
+shown as (select conv_id, sum(to_chars - from_chars + case when headed and own > 0 then first_chars else 0 end) as chars, count(*) as n from spans group by 1)
+select t.conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(len(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(any_value(s.chars) as bigint) as formatted_chars, any_value(s.n) as n_windows
+from turns t join shown s on s.conv_id is not distinct from t.conv_id group by 1
+"""
+
+
+def _codes_sql() -> str:
+    parts, most, n = vector_codes.PARTS, vector_codes.MOST, vector_codes.ENTRIES
+    apart = "list_dot_product(a.v, a.v) - 2 * list_dot_product(a.v, b.v) + list_dot_product(b.v, b.v)"
+    steps = [
+        "v as (select row_number() over () as id, vec_id, label, embedding as x from embeddings where embedding is not null and not list_contains(list_transform(embedding, lambda y: y is null or not isfinite(y)), true))",
+        f"w as (select cast(ceil(max(len(x)) / {parts}.0) as bigint) as w from v)",
+        f"cut as materialized (select id, vec_id, x, p, list_transform(range(p * w, p * w + w), lambda i: greatest(least(floor({vector_codes.SCALE} * coalesce(cast(x[i + 1] as double), 0)), {most}), -{most})) as v from v, w, range({parts}) r(p))",
+        f"b0 as materialized (select p, nr - 1 as e, v from (select *, row_number() over (partition by p order by vec_id nulls last, x, id) as nr from cut) where nr <= {n})",
+    ]
+    for k in range(vector_codes.ROUNDS + 1):
+        steps.append(f"n{k} as materialized (select a.id, a.p, any_value(a.v) as v, min(cast({apart} as bigint) * {n} + b.e) as m from cut a join b{k} b on a.p = b.p group by 1, 2)")
+        steps.append(f"s{k} as (select p, e, list(y order by i) as v from (select p, m % {n} as e, i, floor(sum(v[i]) / count(*)) as y from n{k}, w, range(1, w + 1) r(i) group by 1, 2, 3) group by 1, 2)")
+        steps.append(f"b{k + 1} as materialized (select b.p, b.e, coalesce(s.v, b.v) as v from b{k} b left join s{k} s on s.p = b.p and s.e = b.e)")
+    k = vector_codes.ROUNDS
+    steps.append(f"coded as (select id, string_agg(lower(printf('%02x', m % {n})), '' order by p) as code, cast(sum(m // {n}) as bigint) as error from n{k} group by 1)")
+    steps.append(f"books as (select sha256(string_agg(t, ',' order by p, e)) as codebooks_sha256 from (select p, e, list_aggregate(list_transform(v, lambda y: cast(cast(y as bigint) as varchar)), 'string_agg', ',') as t from b{k}))")
+    return f"with {', '.join(steps)} select v.vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from v join coded using (id), books"
+
+
 def oracle_sql() -> dict[str, str]:
     """The rest is beyond DuckDB: XXH64, crc32, learned models, markup and files; those are tested in tests/llm."""
-    return {"op8_mixing": MIXING_SQL, "op9_decontamination": DECONTAMINATION_SQL}
+    return {"op8_mixing": MIXING_SQL, "op9_decontamination": DECONTAMINATION_SQL, "op11_chat": CHAT_SQL, "op12_codes": _codes_sql()}
