@@ -11,12 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators.graph_algorithms import written
+from riskloom.operators.interval_sweep import DAY, first_in_window
 
 PROVIDER_TYPES = ("Provider", "Provider_Ind", "Provider_Org")
 NODES = {"id": "string", "node_type": "string", "taxonomy": "string", "specialty": "string", "state": "string", "enrollment_date": "date", "date_of_service": "timestamp_ntz", "billed_amount": "double", "paid_amount": "double", "source": "string", "exclusion_date": "timestamp_ntz", "role": "string"}
 EDGES = {"src": "string", "dst": "string", "edge_type": "string", "date": "timestamp_ntz", "amount": "double", "beneficiary": "string", "date_diff_days": "int", "ownership_percentage": "double", "similarity": "double"}
-#: Days of a bucket of the co-billing join, as a multiple of the window.
-BUCKET_WINDOWS = 1
 
 
 def _as(df: DataFrame, schema: dict[str, str]) -> DataFrame:
@@ -61,22 +60,16 @@ def refers_to(claims: DataFrame) -> DataFrame:
 def co_bills_with(claims: DataFrame, window_days: int = 30, patient: str = "beneficiary_id") -> DataFrame:
     """Providers who treat one beneficiary within ``window_days``, inclusive.
 
-    For each beneficiary, pair of providers (src below dst) and claim of src: one edge, to the first claim of dst, by date and
-    claim id, in the window. The join is on beneficiary and date bucket; src's claims go to the buckets their window touches,
-    so a beneficiary with many claims meets only those near in time. Null beneficiaries and dates join nothing.
+    For each beneficiary, pair of providers (src below dst) and claim of src: one edge, to the first claim of dst in the window.
+    Claims of equal beneficiary, provider and time are combined, and each beneficiary's are swept once in order of time
+    (``interval_sweep``), busy beneficiaries in ranges of time. Null beneficiaries, providers and dates join nothing.
     """
-    day = 86_400_000_000
-    width = max(1, window_days * BUCKET_WINDOWS) * day
     at = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', date_of_service)")
-    rows = claims.where(F.col(patient).isNotNull() & F.col("date_of_service").isNotNull()).select(F.col(patient).alias("b"), F.col("provider_npi").alias("p"), F.col("claim_id").alias("c"), "date_of_service", at.alias("t"))
-    bucket = lambda t: F.floor(t / width)
-    reach = F.lit(window_days * day)
-    left = rows.select("b", F.col("p").alias("src"), F.col("c").alias("c1"), F.col("date_of_service").alias("date"), F.col("t").alias("t1"), F.explode(F.sequence(bucket(F.col("t") - reach), bucket(F.col("t") + reach))).alias("k"))
-    right = rows.select(F.col("b").alias("b2"), F.col("p").alias("dst"), F.col("c").alias("c2"), F.col("t").alias("t2"), bucket(F.col("t")).alias("k2"))
-    met = left.join(right, (F.col("b") == F.col("b2")) & (F.col("k") == F.col("k2")) & (F.col("src") < F.col("dst")) & (F.abs(F.col("t2") - F.col("t1")) <= reach))
-    first = met.groupBy("b", "src", "dst", "c1", "t1").agg(F.min(F.struct("t2", "c2")).alias("m"), F.min("date").alias("date"))
-    gap = F.floor(F.abs(F.col("m.t2") - F.col("t1")) / day).cast("int")
-    return _edges(first.withColumn("gap", gap), "CO_BILLS_WITH", src="src", dst="dst", date="date", beneficiary="b", date_diff_days="gap")
+    events = claims.select(F.col(patient).cast("string").alias("g"), F.col("provider_npi").cast("string").alias("p"), at.alias("t"))
+    met = first_in_window(events, window_days)
+    date = F.expr("timestampadd(MICROSECOND, t, timestamp_ntz'1970-01-01 00:00:00')")
+    gap = F.floor(F.abs(F.col("met") - F.col("t")) / DAY).cast("int")
+    return _edges(met.withColumns({"date": date, "gap": gap}), "CO_BILLS_WITH", src="src", dst="dst", date="date", beneficiary="g", date_diff_days="gap")
 
 
 def flagged_by(exclusions: DataFrame) -> DataFrame:
