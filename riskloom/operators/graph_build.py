@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.graph_algorithms import written
 from riskloom.operators.interval_sweep import DAY, first_in_window
+from riskloom.operators.similarity import similar_pairs
 
 PROVIDER_TYPES = ("Provider", "Provider_Ind", "Provider_Org")
 NODES = {"id": "string", "node_type": "string", "taxonomy": "string", "specialty": "string", "state": "string", "enrollment_date": "date", "date_of_service": "timestamp_ntz", "billed_amount": "double", "paid_amount": "double", "source": "string", "exclusion_date": "timestamp_ntz", "role": "string"}
@@ -101,20 +102,9 @@ def shares_bank_account(accounts: DataFrame) -> DataFrame:
 def similar_billing(claims: DataFrame, threshold: float = 0.8, code: str = "procedure_code") -> DataFrame:
     """Pairs of providers whose code counts have a cosine of ``threshold`` or more (src below dst).
 
-    Sparse products over shared codes. A provider's codes are ordered by rising frequency over providers; a pair that reaches
-    the threshold shares a code in both prefixes that hold more than 1 - threshold squared of the squared norm, so only
-    prefixes generate candidates, and those are verified over all codes.
-    """
-    counts = claims.where(F.col(code).isNotNull()).groupBy(F.col("provider_npi").alias("p"), F.col(code).alias("code")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    spread = counts.groupBy("code").agg(F.count(F.lit(1)).alias("df"))
-    own = Window.partitionBy("p")
-    ranked = counts.join(spread, "code").withColumn("norm", F.sqrt(F.sum(F.col("n") * F.col("n")).over(own))).withColumn("w", F.col("n") / F.col("norm"))
-    after = F.sum(F.col("w") * F.col("w")).over(own.orderBy("df", "code").rowsBetween(0, Window.unboundedFollowing))
-    prefix = ranked.withColumn("rest", after).where(F.col("rest") >= threshold * threshold - 1e-9).select("p", "code")
-    met = prefix.select(F.col("p").alias("src"), "code").join(prefix.select(F.col("p").alias("dst"), "code"), "code").where("src < dst").select("src", "dst").distinct()
-    left, right = ranked.select(F.col("p").alias("src"), "code", F.col("n").alias("a"), F.col("norm").alias("na")), ranked.select(F.col("p").alias("dst"), "code", F.col("n").alias("b"), F.col("norm").alias("nb"))
-    cosine = met.join(left, "src").join(right, ["dst", "code"]).groupBy("src", "dst").agg((F.sum(F.col("a") * F.col("b")) / (F.max("na") * F.max("nb"))).alias("similarity"))
-    return _edges(cosine.where(F.col("similarity") >= threshold), "SIMILAR_BILLING_PATTERN", src="src", dst="dst", similarity="similarity")
+    Codes are counted for each provider; ``similarity`` joins the counts."""
+    counts = claims.groupBy(F.col("provider_npi").cast("string").alias("p"), F.col(code).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+    return _edges(similar_pairs(counts, threshold), "SIMILAR_BILLING_PATTERN", src="src", dst="dst", similarity="similarity")
 
 
 def build_graph(providers: DataFrame, claims: DataFrame | None = None, exclusions: DataFrame | None = None, ownership: DataFrame | None = None, bank_accounts: DataFrame | None = None, window_days: int = 30, similarity_threshold: float = 0.8, patient: str = "beneficiary_id", owner: str = "owner_id", similarity_code: str = "procedure_code") -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.operators import interval_sweep as sw
+from riskloom.operators import similarity as sim
 
 DAY = sw.DAY
 
@@ -60,3 +61,52 @@ def test_a_busy_group_is_swept_in_many_ranges(spark):
             if q > p and k < len(own) and own[k] <= t + 5 * DAY:
                 want[p, q, t, int(own[k])] += 1
     assert got == want
+
+
+# -- similarity
+
+
+def brute_similar(counts, threshold):
+    by = {}
+    for p, code, n in counts:
+        if p is not None and code is not None:
+            by.setdefault(p, {})[code] = n
+    norm = {p: sum(n * n for n in v.values()) ** 0.5 for p, v in by.items()}
+    every = {(p, q): sum(n * by[q].get(c, 0) for c, n in v.items()) / (norm[p] * norm[q]) for p, v in by.items() for q in by if p < q}
+    return {k: round(c, 9) for k, c in every.items() if c >= threshold}
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.8, 0.95, 1.0])
+@pytest.mark.parametrize("block", [2, 256])
+def test_similar_pairs(spark, threshold, block):
+    rng = random.Random(int(threshold * 100) + block)
+    vectors = [{f"c{c}": rng.randint(1, 9) for c in rng.sample(range(9), rng.randint(1, 6))} for _ in range(25)]
+    parties = {f"p{k}": vectors[rng.randrange(len(vectors))] if k > 20 else vectors[k] for k in range(40)}
+    parties |= {f"q{k}": v | {"all": 5 + k} for k, v in enumerate(vectors)}
+    counts = [(p, c, n) for p, v in parties.items() for c, n in v.items()] + [(None, "c1", 2), ("p1", None, 3)]
+    df = spark.createDataFrame(counts, "p string, code string, n long").repartition(3)
+    got = sim.similar_pairs(df, threshold, block).collect()
+    assert len({(r.src, r.dst) for r in got}) == len(got)
+    want, near = brute_similar(counts, threshold - 1e-12), brute_similar(counts, threshold + 1e-12)
+    found = {(r.src, r.dst): round(r.similarity, 9) for r in got}
+    assert set(near) <= set(found) <= set(want) and all(want[k] == pytest.approx(v, abs=1e-8) for k, v in found.items())
+    assert sim.similar_pairs(df.limit(0), threshold).isEmpty()
+
+
+def test_a_code_of_all_parties_is_dealt_over_cells(spark):
+    rows = [(f"p{k:05}", c, n) for k in range(3000) for c, n in (("all", 50), (f"own{k % 1500}", 1 + k % 40))]
+    df = spark.createDataFrame(rows, "p string, code string, n long")
+    prefix = df.where("code = 'all'").select(F.lit(1).cast("long").alias("place"), F.col("p").alias("rep"), F.lit(0.9).alias("share"), F.lit(None).cast("int").alias("vec"), F.lit(1.0).alias("norm"))
+    sizes = sim._cells(prefix, 0.64, 256).groupBy("x", "y").count().collect()
+    assert len(sizes) >= 66 and max(r["count"] for r in sizes) < 4 * 256
+    low = sim._cells(prefix.withColumn("share", F.lit(0.65)), 0.64, 256)
+    assert low.isEmpty()  # two shares of 0.65 can't reach 0.8 squared
+    n = sim.similar_pairs(df, 0.99).count()
+    by = {}
+    for p, c, k in rows:
+        by.setdefault(p, {})[c] = k
+    own = np.array([1 + k % 40 for k in range(3000)], dtype=float)
+    code = np.array([k % 1500 for k in range(3000)])
+    dots = 2500 + np.where(code[:, None] == code[None], own[:, None] * own[None], 0)
+    norm = np.sqrt(2500 + own**2)
+    assert n == int((np.triu(dots / (norm[:, None] * norm[None]), 1) >= 0.99).sum())
