@@ -7,23 +7,20 @@ cuts lineage and survives lost executors.
 from __future__ import annotations
 
 import atexit
-import random
 import re
 import shutil
 import tempfile
 import uuid
-from collections import defaultdict, deque
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CUT_ROUNDS = 8
-#: Edges up to which propagation runs in one task, as arrays: a hundred rounds of joins would cost seconds of scheduling.
-SMALL_EDGES = 100_000
-#: Most nodes and edges of a graph that betweenness takes: its adjacency is copied to each task.
-BETWEENNESS_NODES, BETWEENNESS_EDGES = 10_000, 2_000_000
+#: Edges of a node beyond which propagation deals them over all tasks.
+HUB_EDGES = 1_000_000
+#: Nodes from which on betweenness is not computed.
+BETWEENNESS_NODES = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,76 +57,68 @@ def restart_vector(graph: DataFrame, seeds: DataFrame, normalise: bool = True, u
     return marked.join(F.broadcast(totals)).select("node_id", F.when(F.col("k_") > 0, F.try_divide("seed_", "k_")).otherwise(none).alias("restart"))
 
 
-def _propagate_small(steps: DataFrame, restart: DataFrame, start: DataFrame | None, damping: float, rounds: int, tolerance: float | None, norm: str, adopt_last: bool) -> DataFrame:
-    """:func:`propagate` of a graph whose size was checked, in one task."""
-    nodes = restart.withColumn("start", F.col("restart")) if start is None else restart.join(start.withColumnRenamed("score", "start"), "node_id", "left").fillna(0.0, ["start"])
-    rows = steps.select("src", "dst", F.col("part").alias("x"), F.lit(0.0).alias("start")).union(nodes.select("node_id", F.lit(None).cast("string"), "restart", "start"))
-
-    def run(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
-            return
-        src, dst, x, first = (table.column(k).to_pylist() for k in range(4))
-        own = sorted((s, r, f) for s, d, r, f in zip(src, dst, x, first, strict=True) if d is None)
-        names = [s for s, *_ in own]
-        place = {s: k for k, s in enumerate(names)}
-        edges = [(place[s], place[d], p) for s, d, p in zip(src, dst, x, strict=True) if d is not None]
-        a, b = np.array([e[0] for e in edges], dtype=np.int64), np.array([e[1] for e in edges], dtype=np.int64)
-        part, back, score = np.array([e[2] for e in edges]), np.array([r for _, r, _ in own]), np.array([f for *_, f in own])
-        for _ in range(rounds):
-            after = damping * np.bincount(b, weights=score[a] * part, minlength=len(names)) + (1 - damping) * back
-            gap = after - score
-            moved = np.abs(gap).sum() / len(names) if norm == "l1" else np.sqrt((gap * gap).sum())
-            if tolerance is not None and moved < tolerance:
-                score = after if adopt_last else score
-                break
-            score = after
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(score)], names=["node_id", "score"])
-
-    return rows.coalesce(1).mapInArrow(run, "node_id string, score double")
+def _co_partitioned(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` written as a table bucketed by ``column``, in as many buckets as a shuffle has partitions, so that neither a join nor an
+    aggregation by it shuffles the table again."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
 
 
-def propagate(graph: DataFrame, restart: DataFrame, damping: float, start: DataFrame | None = None, mode: str = "push", self_loops: bool = False, rounds: int = 20, tolerance: float | None = None, norm: str = "l1", adopt_last: bool = True, small_edges: int | None = None) -> DataFrame:
-    """(node_id, score) after rounds of ``score = damping * spread(score) + (1 - damping) * restart``. Up to ``small_edges`` steps
-    (``SMALL_EDGES``) one task does the same sums as arrays.
+def propagate(graph: DataFrame, restart: DataFrame, damping: float, start: DataFrame | None = None, mode: str = "push", self_loops: bool = False, rounds: int = 20, tolerance: float | None = None, norm: str = "l1", adopt_last: bool = True, hub_edges: int | None = None) -> DataFrame:
+    """(node_id, score) after rounds of ``score = damping * spread(score) + (1 - damping) * restart``.
 
     push: a node deals its score to its neighbours by edge weight (random walks). pull: a node takes the weighted mean of its
     neighbours (label propagation). ``start`` (node_id, score) defaults to the restart vector. With a ``tolerance`` the loop
     ends when the change is below it: the sum of absolute changes below tolerance times the nodes (l1), or their root of
     squares (l2); ``adopt_last`` tells whether that last round counts.
+
+    Edges are bucketed by their source and scores by node, so a round shuffles partial sums only, once. The edges of nodes with over
+    ``hub_edges`` (``HUB_EDGES``) of them, whose bucket would be one long task, stay outside the buckets and meet a broadcast of those nodes' scores.
     """
     if self_loops:
         loops = vertices(graph).select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(1.0).alias("weight"))
         graph = graph.unionByName(loops)
     share = "src" if mode == "push" else "dst"
     totals = graph.groupBy(F.col(share).alias("t_")).agg(F.sum("weight").alias("total_"))
-    steps = written(graph.join(totals, F.col(share) == F.col("t_")).select("src", "dst", (F.col("weight") / F.col("total_")).alias("part")), "steps")
-    restart = written(restart, "restart")
-    if steps.count() <= (SMALL_EDGES if small_edges is None else small_edges):
-        return _propagate_small(steps, restart, start, damping, rounds, tolerance, norm, adopt_last)
-    state = start if start is not None else restart.select("node_id", F.col("restart").alias("score"))
+    steps = graph.join(totals, F.col(share) == F.col("t_")).select("src", "dst", (F.col("weight") / F.col("total_")).alias("part"))
+    hubs = written(graph.groupBy("src").count().where(F.col("count") > (HUB_EDGES if hub_edges is None else hub_edges)).select(F.col("src").alias("hub")), "hubs")
+    hub_steps = None
+    if not hubs.isEmpty():  # one for each HUB_EDGES edges at most
+        steps = written(steps, "steps")
+        hub_steps = written(steps.join(F.broadcast(hubs), F.col("src") == F.col("hub"), "left_semi").repartition("src", "dst"), "hub_steps")
+        steps = steps.join(F.broadcast(hubs), F.col("src") == F.col("hub"), "left_anti")
+    steps = _co_partitioned(steps, "src", "steps")
+    restart = _co_partitioned(restart, "node_id", "restart")
+    state = restart.select("node_id", F.col("restart").alias("score")) if start is None else start
     n = restart.count() if tolerance is not None else 0
     for k in range(1, rounds + 1):
-        spread = steps.join(state, F.col("src") == F.col("node_id")).groupBy(F.col("dst").alias("to_")).agg(F.sum(F.col("score") * F.col("part")).alias("in_"))
+        dealt = steps.join(state, F.col("src") == F.col("node_id")).select(F.col("dst").alias("to_"), (F.col("score") * F.col("part")).alias("in_"))
+        if hub_steps is not None:
+            own = state.join(F.broadcast(hubs), F.col("node_id") == F.col("hub"), "left_semi")
+            dealt = dealt.union(hub_steps.join(F.broadcast(own), F.col("src") == F.col("node_id")).select("dst", F.col("score") * F.col("part")))
+        spread = dealt.groupBy("to_").agg(F.sum("in_").alias("in_"))
         after = restart.join(spread, F.col("node_id") == F.col("to_"), "left").select("node_id", (damping * F.coalesce("in_", F.lit(0.0)) + (1 - damping) * F.col("restart")).alias("score"))
         if tolerance is not None:
-            after = written(after)
+            after = _co_partitioned(after, "node_id", "scores")
             gap = F.col("a.score") - F.col("b.score")
             change = F.sum(F.abs(gap)) if norm == "l1" else F.sqrt(F.sum(gap * gap))
             moved = after.alias("a").join(state.alias("b"), "node_id").agg(change.alias("c")).first().c or 0.0
             if moved < tolerance * (n if norm == "l1" else 1):
                 return after if adopt_last else state
-        elif k % CUT_ROUNDS == 0 and k < rounds:
-            after = written(after)
+        elif k < rounds and (k % CUT_ROUNDS == 0 or hub_steps is not None):  # with hubs a round reads the scores twice
+            after = _co_partitioned(after, "node_id", "scores")
         state = after
     return state
 
 
-def personalized_pagerank(graph: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, small_edges: int | None = None) -> DataFrame:
+def personalized_pagerank(graph: DataFrame, seeds: DataFrame, alpha: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, hub_edges: int | None = None) -> DataFrame:
     """From an equal start, restart on the seeds; weights count where they aren't 1."""
     restart = restart_vector(graph, seeds)
     start = restart_vector(graph, seeds.limit(0)).select("node_id", F.col("restart").alias("score"))
-    return propagate(graph, restart, alpha, start, rounds=rounds, tolerance=tolerance, small_edges=small_edges)
+    return propagate(graph, restart, alpha, start, rounds=rounds, tolerance=tolerance, hub_edges=hub_edges)
 
 
 def random_walk_with_restart(graph: DataFrame, seeds: DataFrame, restart_prob: float = 0.15, rounds: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
@@ -189,61 +178,50 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
     return each.join(F.broadcast(sizes), "edge_type").select("edge_type", "node_id", F.coalesce(F.try_divide("k", F.col("n_") - 1), F.lit(1.0)).alias("degree_centrality"))
 
 
-def _betweenness_from(sources: list[str], out: dict[str, list[str]]) -> dict[str, float]:
-    """Sums over sources of Brandes' dependencies."""
-    total: dict[str, float] = defaultdict(float)
-    for s in sources:
-        order, before, paths, depth = [], defaultdict(list), defaultdict(float, {s: 1.0}), {s: 0}
-        queue = deque([s])
-        while queue:
-            v = queue.popleft()
-            order.append(v)
-            for w in out.get(v, ()):
-                if w not in depth:
-                    depth[w] = depth[v] + 1
-                    queue.append(w)
-                if depth[w] == depth[v] + 1:
-                    paths[w] += paths[v]
-                    before[w].append(v)
-        owed: dict[str, float] = defaultdict(float)
-        for w in reversed(order):
-            for v in before[w]:
-                owed[v] += paths[v] / paths[w] * (1 + owed[w])
-            if w != s:
-                total[w] += owed[w]
-    return total
-
-
 def betweenness(edges: DataFrame, most_sources: int = 1000, seed: int = 42) -> DataFrame:
-    """(node_id, betweenness) of a simple directed graph, normalised: exact up to ``most_sources`` nodes, from a seeded sample
-    of sources above. It is not computed for graphs of ``BETWEENNESS_NODES`` nodes or more: null for every node. Sources are dealt
-    over tasks; each holds the adjacency, whose size is checked first, and graphs over ``BETWEENNESS_EDGES`` edges raise."""
+    """(node_id, betweenness) of a simple directed graph, normalised: exact up to ``most_sources`` nodes, from as many sources, the first
+    by a hash, above. It is not computed for graphs of ``BETWEENNESS_NODES`` nodes or more: null for every node.
+
+    All sources' searches run at once, a level a round: the frontier (source, node, shortest paths) joins the edges; what it reaches
+    first is the next one, and the edges that led there are kept. Dependencies then come back level by level over these. Each level
+    is written; its rows are the sources times the edges between the level and the one before, at most.
+    """
     spark = edges.sparkSession
     simple = written(edges.where("src <> dst").select("src", "dst").distinct(), "simple")
-    nodes = vertices(simple)
+    nodes = written(vertices(simple), "nodes")
     n = nodes.count()
     if n < 2:
         return spark.createDataFrame([], "node_id string, betweenness double")
     if n >= BETWEENNESS_NODES:
         return nodes.withColumn("betweenness", F.lit(None).cast("double"))
-    if (m := simple.count()) > BETWEENNESS_EDGES:
-        raise ValueError(f"{m} edges are over the {BETWEENNESS_EDGES} that betweenness takes")
-    out: dict[str, list[str]] = defaultdict(list)
-    for r in simple.orderBy("src", "dst").toLocalIterator():
-        out[r.src].append(r.dst)
-    out = dict(out)
-    names = sorted(r.node_id for r in nodes.collect())
-    sources = names if n <= most_sources else sorted(random.Random(seed).sample(names, most_sources))
+    sources = nodes if n <= most_sources else nodes.orderBy(F.xxhash64(F.lit(seed), "node_id"), "node_id").limit(most_sources)
     scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    scale *= n / len(sources)
-
-    def run(batches):
-        for batch in batches:
-            found = _betweenness_from(batch.column(0).to_pylist(), out)
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.float64())], names=["node_id", "b"])
-
-    dealt = spark.createDataFrame([(s,) for s in sources], "node_id string").repartition(min(len(sources), 64))
-    sums = dealt.mapInArrow(run, "node_id string, b double").groupBy("node_id").agg(F.sum("b").alias("b"))
+    scale *= n / min(n, most_sources)
+
+    level = written(sources.select(F.col("node_id").alias("s"), F.col("node_id").alias("v"), F.lit(1.0).alias("paths")), "level")
+    levels, led, seen = [level], [], level.select("s", "v")
+    while True:
+        reached = simple.join(level, F.col("src") == F.col("v")).select("s", "v", F.col("dst").alias("w"), "paths")
+        known = seen.select(F.col("s").alias("s_"), F.col("v").alias("w_"))
+        fresh = written(reached.join(known, (F.col("s") == F.col("s_")) & (F.col("w") == F.col("w_")), "left_anti"), "led")
+        if fresh.isEmpty():
+            break
+        level = written(fresh.groupBy("s", F.col("w").alias("v")).agg(F.sum("paths").alias("paths")), "level")
+        levels.append(level)
+        led.append(fresh)
+        seen = seen.union(level.select("s", "v"))
+        if len(levels) % CUT_ROUNDS == 0:
+            seen = written(seen, "seen")
+    if not led:
+        return nodes.withColumn("betweenness", F.lit(0.0))
+    owed, all_owed = levels[-1].withColumn("owed", F.lit(0.0)), []
+    for level, back in zip(levels[-2:0:-1], led[:0:-1], strict=True):
+        of = owed.select(F.col("s").alias("s_"), F.col("v").alias("w_"), F.col("paths").alias("all_paths"), "owed")
+        share = F.col("paths") / F.col("all_paths") * (1 + F.col("owed"))
+        due = back.join(of, (F.col("s") == F.col("s_")) & (F.col("w") == F.col("w_"))).groupBy("s", "v").agg(F.sum(share).alias("owed"))
+        owed = written(level.join(due, ["s", "v"], "left").select("s", "v", "paths", F.coalesce("owed", F.lit(0.0)).alias("owed")), "owed")
+        all_owed.append(owed.select("v", "owed"))
+    sums = reduce(DataFrame.union, all_owed, levels[-1].select("v", F.lit(0.0).alias("owed"))).groupBy(F.col("v").alias("node_id")).agg(F.sum("owed").alias("b"))
     return nodes.join(sums, "node_id", "left").select("node_id", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
 

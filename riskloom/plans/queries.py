@@ -239,8 +239,9 @@ def personalized_pagerank(spark, sf):
 
 @query
 def pagerank_by_joins(spark, sf):
-    """The distributed loop, whatever the size of the graph."""
-    return shaped(graph_algorithms.personalized_pagerank(_projection(spark, sf, True), _seeds(spark, sf), rounds=ROUNDS, tolerance=None, small_edges=0))
+    """The loop with every node's edges outside the buckets, as those of hubs are."""
+    graph = _projection(spark, sf, True)
+    return shaped(graph_algorithms.personalized_pagerank(graph, _seeds(spark, sf), rounds=ROUNDS, tolerance=None, hub_edges=0))
 
 
 @query

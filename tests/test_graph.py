@@ -25,9 +25,9 @@ PATH = [("A", "B"), ("B", "C"), ("C", "D")]
 CLIQUES = [(x + str(i), x + str(j)) for x in "ab" for i in range(4) for j in range(i)] + [("a0", "b0")]
 
 
-@pytest.mark.parametrize("small", [0, 1000])
-def test_path(spark, monkeypatch, small):
-    monkeypatch.setattr(ga, "SMALL_EDGES", small)
+@pytest.mark.parametrize("hub", [0, 1, 1000])
+def test_path(spark, monkeypatch, hub):
+    monkeypatch.setattr(ga, "HUB_EDGES", hub)
     g = graph(spark, *PATH)
     ppr = found(ga.personalized_pagerank(g, ids(spark, "A"), rounds=50, tolerance=None), "score")
     assert ppr == pytest.approx({"A": 0.3022, "B": 0.3582, "C": 0.2383, "D": 0.1013}, abs=1e-4)

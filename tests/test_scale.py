@@ -103,9 +103,6 @@ def test_each_check_needs_its_own_columns_only(spark):
 
 def test_betweenness_beyond_its_limits_is_told(spark, monkeypatch):
     star = spark.createDataFrame([(f"h{i}", f"t{j}", "T") for i in range(3) for j in range(4)], "src string, dst string, edge_type string")
-    monkeypatch.setattr(ga, "BETWEENNESS_EDGES", 5)
-    with pytest.raises(ValueError, match="12 edges"):
-        ga.betweenness(star)
     monkeypatch.setattr(ga, "BETWEENNESS_NODES", 7)
     assert {r.betweenness for r in ga.betweenness(star).collect()} == {None}
 
@@ -162,3 +159,46 @@ def test_command_line(spark, tmp_path, monkeypatch):
         cli.main(args)
     monkeypatch.setattr(cli.pipeline, "run", lambda *a: 1 / 0)
     assert cli.main([*args, "--salt", "s"]) == 1
+
+
+def test_betweenness_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    edges = {(f"n{a}", f"n{b}") for a, b in rng.integers(0, 14, (40, 2)).tolist()}
+    df = spark.createDataFrame([(a, b, "T") for a, b in edges] * 2, "src string, dst string, edge_type string")
+    out = {}
+    for a, b in edges:
+        if a != b:
+            out.setdefault(a, []).append(b)
+    nodes = sorted({x for e in edges if e[0] != e[1] for x in e})
+
+    def shortest(s):
+        paths, level = {s: [[s]]}, [s]
+        while level:
+            ahead = {}
+            for v in level:
+                for w in out.get(v, []):
+                    if w not in paths:
+                        ahead.setdefault(w, []).extend(p + [w] for p in paths[v])
+            paths |= ahead
+            level = list(ahead)
+        return paths
+
+    every = {s: shortest(s) for s in nodes}
+    want = {v: sum(sum(v in p[1:-1] for p in ps) / len(ps) for found in every.values() for ps in found.values()) / ((len(nodes) - 1) * (len(nodes) - 2)) for v in nodes}
+    got = {r.node_id: r.betweenness for r in ga.betweenness(df).collect()}
+    assert got == pytest.approx(want)
+    sampled = {r.node_id: r.betweenness for r in ga.betweenness(df, most_sources=5).collect()}
+    assert set(sampled) == set(want) and max(sampled.values()) > 0
+
+
+def test_a_round_of_propagation_shuffles_once(spark):
+    rows = [(f"n{k}", f"n{(k * 7 + j) % 50}", 1.0) for k in range(50) for j in range(1, 4)]
+    graph = spark.createDataFrame(rows, "src string, dst string, weight double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        restart = ga.restart_vector(graph, graph.select(F.col("src").alias("node_id")).limit(3))
+        plan = ga.propagate(graph, restart, 0.8, rounds=4)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 4
