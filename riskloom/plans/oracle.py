@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from riskloom.functions.privacy import _pads
-from riskloom.plans.queries import AS_OF, K, ROUNDS, SALT, SIMILARITY
+from riskloom.plans.queries import AS_OF, GRAPH_WINDOW, K, ROUNDS, SALT, SIMILARITY
 from riskloom.sources.adapters import SQL
 
 BASE = f"with recursive {SQL.strip()}"
@@ -58,7 +58,7 @@ near as (select a.beneficiary_id as b, a.provider_npi as src, b.provider_npi as
 co_bills as (select distinct src, dst, 'CO_BILLS_WITH' as edge_type, date, b as beneficiary, cast(gap // 86400000000 as bigint) as date_diff_days, c1 from near where k = 1)"""
 
 
-GRAPH = f"""{_co_bills(0)},
+GRAPH = f"""{_co_bills(GRAPH_WINDOW)},
 pairs as (select least(src, dst) as a, greatest(src, dst) as b, count(*) as n from co_bills group by 1, 2),
 graph as (select a as src, b as dst, 1.0::double as weight, cast(n as double) as w from pairs union all select b, a, 1.0::double, cast(n as double) from pairs),
 nodes as (select distinct src as node_id from graph),
@@ -159,7 +159,7 @@ def oracle_sql() -> dict[str, str]:
         "graph_statistics": f"{BASE},{_co_bills(30)},{ALL_NODES},{_similar('procedure_code', 0.8)}, every as (select src, dst, edge_type from co_bills union all select src, dst, edge_type from similar_billing " +" ".join(f"union all select src, dst, edge_type from ({EDGE_SQL[k]})" for k in ("bills_for", "treats", "flagged_by", "owned_by", "shares_facility", "shares_bank", "refers_to")) + "), ends as (select src as id from every union select dst from every), n as (select coalesce(t.node_type, 'Unknown') as type, count(*) as n from (select distinct id, node_type from typed) t full join ends using (id) group by 1), e as (select edge_type as type, count(*) as n from every group by 1) select 'node' as kind, type, n from n union all select 'node', 'total', sum(n)::bigint from n union all select 'edge', type, n from e union all select 'edge', 'total', sum(n)::bigint from e",
         "metapath_graph": f"{BASE}, s as ({EDGE_SQL['shares_bank']}) select distinct a.src, b.src as dst, 2.0::double as weight from s a join s b on a.dst = b.dst and a.src < b.src",
         "provider_projection": f"{BASE},{GRAPH} select src, dst, w as weight from graph",
-        "degree_centrality": f"{BASE},{_co_bills(0)}, every as (select distinct edge_type, src, dst from co_bills union all select distinct 'OWNED_BY', provider_npi, owner_id from ownership), ends as (select edge_type, src as node_id from every union all select edge_type, dst from every), d as (select edge_type, node_id, count(*) as k from ends group by 1, 2) select edge_type, node_id, round(cast(k as double) / (count(*) over (partition by edge_type) - 1), 9) as degree_centrality from d",
+        "degree_centrality": f"{BASE},{_co_bills(GRAPH_WINDOW)}, every as (select distinct edge_type, src, dst from co_bills union all select distinct 'OWNED_BY', provider_npi, owner_id from ownership), ends as (select edge_type, src as node_id from every union all select edge_type, dst from every), d as (select edge_type, node_id, count(*) as k from ends group by 1, 2) select edge_type, node_id, round(cast(k as double) / (count(*) over (partition by edge_type) - 1), 9) as degree_centrality from d",
         "degree": f"{BASE},{GRAPH} select src as node_id, count(*) as degree from graph group by 1",
         "personalized_pagerank": f"{BASE},{GRAPH},{RESTART},{PPR} select node_id, round(score, 9) as score from ppr",
         "random_walk_restart": f"{BASE},{GRAPH},{RESTART},{RWR} select node_id, round(score, 9) as score from rwr",
@@ -183,7 +183,7 @@ def oracle_sql() -> dict[str, str]:
     out |= {
         "pagerank_by_joins": out["personalized_pagerank"],
         "core_number": f"{BASE},{GRAPH}, cores as (select src as node_id, count(*) as c, 0 as k from graph group by 1 union all select g.src, list_max(list_transform(list_sort(list(l.c), 'DESC'), lambda x, i: least(x, i))), any_value(l.k) + 1 from cores l join graph g on g.dst = l.node_id where l.k < 60 group by g.src) select node_id, cast(c as bigint) as core from cores where k = 60",
-        "betweenness": f"{BASE},{_co_bills(0)}, e as (select distinct src, dst from co_bills), ids as (select src as node_id from e union select dst from e), walks as (select src as s, dst as t, 1 as d, 1.0::double as n from e union all select w.s, e.dst, any_value(w.d) + 1, sum(w.n) from walks w join e on e.src = w.t group by w.s, e.dst), short as (select s, t, min(d) as d, arg_min(n, d) as n from walks group by 1, 2), b as (select v.t as node_id, sum(v.n * w.n / x.n) as b from short v join short w on w.s = v.t join short x on x.s = v.s and x.t = w.t and x.d = v.d + w.d group by 1) select node_id, round(coalesce(b, 0) / ((select count(*) from ids) - 1) / ((select count(*) from ids) - 2), 9) as betweenness from ids left join b using (node_id)",
+        "betweenness": f"{BASE},{_co_bills(GRAPH_WINDOW)}, e as (select distinct src, dst from co_bills), ids as (select src as node_id from e union select dst from e), walks as (select src as s, dst as t, 1 as d, 1.0::double as n from e union all select w.s, e.dst, any_value(w.d) + 1, sum(w.n) from walks w join e on e.src = w.t group by w.s, e.dst), short as (select s, t, min(d) as d, arg_min(n, d) as n from walks group by 1, 2), b as (select v.t as node_id, sum(v.n * w.n / x.n) as b from short v join short w on w.s = v.t join short x on x.s = v.s and x.t = w.t and x.d = v.d + w.d group by 1) select node_id, round(coalesce(b, 0) / ((select count(*) from ids) - 1) / ((select count(*) from ids) - 2), 9) as betweenness from ids left join b using (node_id)",
         "eigenvector": f"{BASE},{GRAPH}, steps as (select src, dst from graph union all select node_id, node_id from nodes), eig as (select node_id, 1.0::double as x, 0 as k from nodes union all select s.dst, sum(l.x), any_value(l.k) + 1 from eig l join steps s on s.src = l.node_id where l.k < 10 group by s.dst) select node_id, round(x / sqrt(sum(x * x) over ()), 7) as eigenvector from eig where k = 10",
         "community_statistics": f"{BASE},{GRAPH}, parts as (select node_id, license_state as community from nodes join providers on npi = node_id), sizes as (select community, count(*) as size, count_if(node_id in (select entity_npi from exclusions)) as bad from parts group by 1) select npi as node_id, coalesce(community, '-1') as community_id, cast(coalesce(size, 0) as bigint) as community_size, round(coalesce(cast(bad as double) / size, 0), 9) as community_fraud_rate from providers left join parts on node_id = npi left join sizes using (community)",
         "baseline_evaluation": f"{BASE},{ENSEMBLE} select round(avg(ensemble_score) filter (where node_id in (select entity_npi from exclusions)), 6) as mean_positive, round(avg(ensemble_score) filter (where node_id not in (select entity_npi from exclusions)), 6) as mean_negative from ensemble",

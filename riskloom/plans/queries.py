@@ -18,8 +18,8 @@ AS_OF = "2001-06-01"
 ROUNDS = 20
 K = 20
 SIMILARITY = 0.975
-#: Window of the co-billing graph that the analytics run on (``_graph`` has the default one); wider ones link almost all suppliers.
-GRAPH_WINDOW = 0
+#: Days of the co-billing graph that the analytics run on, as ``_graph`` has them.
+GRAPH_WINDOW = 30
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -201,7 +201,7 @@ def metapath_graph(spark, sf):
     return shaped(graph_build.metapath_graph(nodes, edges, ["Provider", "BankAccount", "Provider"]))
 
 
-# -- graph analytics, on providers that co-bill on the same day
+# -- graph analytics, on providers that co-bill within 30 days
 
 
 def _co_billing(spark, sf):
