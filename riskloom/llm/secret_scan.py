@@ -1,16 +1,19 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
 Two first-order Markov models over characters, one of random strings, one of ordinary identifiers, are counted from labelled
-samples. A candidate token is a secret if its mean log-likelihood ratio per transition is at least a threshold. All of it,
-training included, is DataFrame functions; the model is one literal array of fixed size.
+samples. A candidate token is a secret if its mean log-likelihood ratio per transition is at least a threshold, which the random
+samples set by length: their mean, less some deviations of a mean of so many transitions. All of it, training included, is
+DataFrame functions; the model is one literal array of fixed size.
 
 Spans of all matches come from cutting the text at the pattern: the pieces between matches and the matches alternate, so
-running sums of their lengths are the positions. The sums are taken in blocks, so a text of many matches stays cheap.
+running sums of their lengths are the positions. The sums are taken in blocks, and what a lambda reads is bound once, so a
+text of a hundred thousand matches takes seconds.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +22,13 @@ from pyspark.sql import functions as F
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 SYMBOLS = len(ALPHABET) + 1
 SMOOTHING = 0.5
-LEAST_RATIO = 0.35
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+#: Least ratio at any length, itself and as a share of the random samples' mean, and deviations below that mean that still count.
+LEAST_RATIO, LEAST_SHARE, DEVIATIONS = 0.35, 0.32, 3.0
+#: Tokens that are looked at: of LEAST_LENGTH characters or more, with a letter, as numbers alone are cards and counts.
+CANDIDATE, LEAST_LENGTH = r"[A-Za-z0-9+/_-]++(?:\.[A-Za-z0-9+/_-]++)*+", 16
 TRAINING_ROWS = 4000
+#: Elements of a block of running sums.
+BLOCK = 128
 
 ASSIGN = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 #: Kinds as listed: pattern, and whether its group 1 must have 8 characters (else the pattern holds the least length:
@@ -32,39 +39,63 @@ KINDS = {"assign": (ASSIGN, True), "access": (r"AKIA[A-Z0-9]{12,}", False), "hex
 PARTS = "get set user name file path index value count size list map node edge data time date start end read write open close load save parse format string number buffer stream client server request response handler manager service config option default parent child first last next previous update delete insert select create table column row key item cache queue worker thread process message event listener button window view model controller test result error exception version module package import export account order customer product price total amount address city country language document section article chapter page line word letter".split()
 
 
-def running_sums(lengths: Column, block: int = 64) -> Column:
-    """Sums of all elements before each element, of an array of numbers, in blocks of ``block`` elements."""
-    n = F.size(lengths)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    blocks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int"))).otherwise(F.array().cast("array<int>"))
-    zero = F.lit(0).cast("long")
-    sums = F.transform(blocks, lambda b: F.aggregate(F.slice(lengths, b * block + 1, F.lit(block)), zero, lambda a, x: a + x))
-    heads = F.transform(blocks, lambda b: F.aggregate(F.slice(sums, F.lit(1), b), zero, lambda a, x: a + x))
-    return F.transform(starts, lambda i: F.element_at(heads, F.floor(i / block).cast("int") + 1) + F.aggregate(F.slice(lengths, F.floor(i / block).cast("int") * block + 1, i % block), zero, lambda a, x: a + x))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body, or a lambda in it, reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _matched(df: DataFrame, kind: str, pattern: str, valued: bool) -> DataFrame:
-    """Adds ``kind``: array of (start, ord, end, kind, text), code points, of all matches of ``pattern`` in ``text_``."""
+def running(values: Column, merge: Callable[[Column, Column], Column], zero: Column, depth: int = 2) -> Column:
+    """The merge of all elements before each, of an array of longs: in blocks of ``BLOCK`` elements, their totals in blocks again, so
+    that a few million elements cost a few million steps."""
+    state = F.struct(zero.alias("upto"), F.array().cast("array<bigint>").alias("before"))
+    one = lambda block: F.aggregate(block, state, lambda s, x: F.struct(merge(s["upto"], x).alias("upto"), F.array_append(s["before"], s["upto"]).alias("before")))
+    if not depth:
+        return one(values)["before"]
+
+    def joined(blocks: Column) -> Column:
+        heads = running(F.transform(blocks, lambda b: b["upto"]), merge, zero, depth - 1)
+        return let(heads, lambda h: F.flatten(F.transform(blocks, lambda b, i: F.transform(b["before"], lambda x: merge(F.get(h, i), x)))))
+
+    def cut(own: Column) -> Column:
+        starts = F.when(F.size(own) > 0, F.sequence(F.lit(1), F.size(own), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+        return let(F.transform(starts, lambda i: one(F.slice(own, i, F.lit(BLOCK)))), joined)
+
+    return let(values, cut)
+
+
+SPAN = "array<struct<start:bigint,ord:int,end:bigint,kind:string,text:string>>"
+
+
+def _matched(kind: str, pattern: str, valued: bool) -> Column:
+    """Array of (start, ord, end, kind, text), code points, of all matches of ``pattern`` in ``text_``. The pieces between matches and
+    the matches alternate; each is cut out once, and running sums of their lengths are the positions."""
     order = [*KINDS, "markov"].index(kind)
-    some = F.col("text_").rlike(pattern)
-    none = F.array().cast("array<string>")
-    df = df.withColumns({"all_": F.when(some, F.regexp_extract_all("text_", F.lit(pattern), F.lit(0))).otherwise(none), "between_": F.when(some, F.split("text_", pattern, -1)).otherwise(none)})
-    df = df.withColumn("values_", F.when(some, F.regexp_extract_all("text_", F.lit(pattern), F.lit(1))).otherwise(none) if valued else F.col("all_"))
-    df = df.withColumn("lengths_", F.flatten(F.transform("all_", lambda m, i: F.array(F.length(F.element_at("between_", i + 1)), F.length(m)))))
-    df = df.withColumn("before_", running_sums(F.col("lengths_")))
-    spans = F.transform(
-        "all_",
-        lambda m, i: F.struct(
-            F.element_at("before_", i * 2 + 2).alias("start"),
-            F.lit(order).alias("ord"),
-            (F.element_at("before_", i * 2 + 2) + F.length(m)).alias("end"),
-            F.lit(kind).alias("kind"),
-            F.element_at("values_", i + 1).alias("text"),
-        ),
-    )
-    if valued:
-        spans = F.filter(spans, lambda s: F.length(s["text"]) >= 8)
-    return df.withColumn(kind, spans).drop("all_", "between_", "values_", "lengths_", "before_")
+    found = [F.regexp_extract_all("text_", F.lit(pattern), F.lit(g)) for g in ((0, 1) if valued else (0,))]
+    pieces = F.arrays_zip(F.split("text_", pattern, -1).alias("between"), *[c.alias(n) for c, n in zip(found, ("all", "value"), strict=False)])
+
+    def spans(parts: Column) -> Column:
+        lengths = F.transform(parts, lambda p: (F.length(p["between"]) + F.coalesce(F.length(p["all"]), F.lit(0))).cast("long"))
+
+        def placed(before: Column) -> Column:
+            start = lambda p, i: F.get(before, i) + F.length(p["between"])
+            span = lambda p, i: F.struct(start(p, i).alias("start"), F.lit(order).alias("ord"), (start(p, i) + F.length(p["all"])).alias("end"), F.lit(kind).alias("kind"), p["value" if valued else "all"].alias("text"))
+            return F.transform(F.filter(parts, lambda p: p["all"].isNotNull()), span)
+
+        return let(running(lengths, lambda a, b: a + b, F.lit(0).cast("long")), placed)
+
+    out = F.when(F.col("text_").rlike(pattern), let(pieces, spans)).otherwise(F.array()).cast(SPAN)
+    return F.filter(out, lambda s: F.length(s["text"]) >= 8) if valued else out
+
+
+def _free(merged: Column) -> Column:
+    """The candidates among spans in order that touch no base span: the greatest end of base spans before and the least start after
+    are running values, so many spans are no pairs."""
+    own = F.lit(len(KINDS))
+    far = F.lit(1 << 62)
+    ends = running(F.transform(merged, lambda s: F.when(s["ord"] < own, s["end"]).otherwise(0)), lambda a, b: F.greatest(a, b), F.lit(0).cast("long"))
+    starts = running(F.transform(F.reverse(merged), lambda s: F.when(s["ord"] < own, s["start"]).otherwise(far)), lambda a, b: F.least(a, b), far)
+    n = F.size(merged)
+    return let(ends, lambda before: let(starts, lambda after: F.filter(merged, lambda s, i: (s["ord"] == own) & (F.get(before, i) <= s["start"]) & (F.get(after, n - 1 - i) >= s["end"]))))
 
 
 def labelled_samples(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFrame:
@@ -86,7 +117,13 @@ def labelled_samples(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFram
     return ids.select(random.alias("text"), F.lit(True).alias("random")).union(ids.select(F.concat(name, tail).alias("text"), F.lit(False).alias("random")))
 
 
-def train(samples: DataFrame) -> list[float]:
+class Ratios(list):
+    """Ratios of transitions, and their mean and deviation over those of the random samples."""
+
+    mean = deviation = 0.0
+
+
+def train(samples: DataFrame) -> Ratios:
     """Log-likelihood ratio (random against ordinary) of each transition, ``SYMBOLS`` x ``SYMBOLS``, from samples
     (text, random). Null texts and labels are left out. The driver gets counts of transitions only."""
     codes = F.transform(F.split("text", ""), lambda c: F.instr(F.lit(ALPHABET), c))
@@ -94,8 +131,7 @@ def train(samples: DataFrame) -> list[float]:
     at = F.when(F.size("c") > 1, F.sequence(F.lit(1), F.size("c") - 1)).otherwise(F.array().cast("array<int>"))
     pairs = pairs.select("random", F.explode(F.transform(at, lambda i: F.element_at("c", i) * SYMBOLS + F.element_at("c", i + 1))).alias("pair"))
     counts = {(r.random, r.pair): r["count"] for r in pairs.groupBy("random", "pair").count().collect()}
-    out = []
-    logs = {}
+    out, logs = Ratios(), {}
     for kind in (True, False):
         for a in range(SYMBOLS):
             row = [counts.get((kind, a * SYMBOLS + b), 0) + SMOOTHING for b in range(SYMBOLS)]
@@ -104,9 +140,18 @@ def train(samples: DataFrame) -> list[float]:
                 logs[kind, a, b] = math.log(row[b] / total)
     for a in range(SYMBOLS):
         out += [logs[True, a, b] - logs[False, a, b] for b in range(SYMBOLS)]
+    own = [(out[pair], n) for (random, pair), n in counts.items() if random]
+    if total := sum(n for _, n in own):
+        out.mean = sum(x * n for x, n in own) / total
+        out.deviation = math.sqrt(sum((x - out.mean) ** 2 * n for x, n in own) / total)
     return out
 
 
+def threshold(token: Column, ratios: Ratios, least_ratio: float = LEAST_RATIO) -> Column:
+    """The least mean ratio of a secret as long as ``token``."""
+    return F.greatest(F.lit(max(least_ratio, LEAST_SHARE * ratios.mean)), F.lit(ratios.mean) - DEVIATIONS * ratios.deviation / F.sqrt(F.greatest(F.length(token) - 1, F.lit(1))))
+
+
 def mean_ratio(token: Column, ratios: list[float]) -> Column:
     """Mean log-likelihood ratio over the transitions of a token of two characters or more. The empty string that
     splitting leaves at no place but the end is cut off."""
@@ -117,21 +162,18 @@ def mean_ratio(token: Column, ratios: list[float]) -> Column:
     return F.aggregate(codes, state, step, lambda s: s["sum"]) / (F.length(token) - 1)
 
 
-def scan(docs: DataFrame, ratios: list[float], least_ratio: float = LEAST_RATIO, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def scan(docs: DataFrame, ratios: Ratios, least_ratio: float = LEAST_RATIO, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: doc_id, base and found, each an array of (start, ord, end, kind, text) in order; base holds the
-    pattern spans, found the ones that the models add: candidate tokens with a digit and a letter that overlap no base span.
+    pattern spans, found the ones that the models add: candidate tokens with a letter that overlap no base span.
 
     Null texts count as empty. Positions are code points, ends exclusive. Repeated rows are each scanned; null ids pass
     through; other columns are ignored; an empty table gives no rows.
     """
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
-    for kind, (pattern, valued) in KINDS.items():
-        df = _matched(df, kind, pattern, valued)
-    df = _matched(df, "markov", CANDIDATE, False).drop("text_")
-    df = df.select("doc_id", F.array_sort(F.concat(*KINDS)).alias("base"), "markov")
-    mixed = F.filter("markov", lambda m: m["text"].rlike("[0-9]") & m["text"].rlike("[A-Za-z]"))
-    free = F.filter(mixed, lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    found = F.filter(free, lambda m: mean_ratio(m["text"], ratios) >= least_ratio)
+    spans = {kind: _matched(kind, pattern, valued) for kind, (pattern, valued) in KINDS.items()} | {"markov": _matched("markov", CANDIDATE, False)}
+    df = df.select("doc_id", F.array_sort(F.concat(*[spans[k] for k in KINDS])).alias("base"), F.filter(spans["markov"], lambda m: (F.length(m["text"]) >= LEAST_LENGTH) & m["text"].rlike("[A-Za-z]")).alias("markov"))
+    free = F.when(F.size("markov") > 0, let(F.array_sort(F.concat("base", "markov")), _free)).otherwise(F.array().cast(SPAN))
+    found = F.filter(free, lambda m: mean_ratio(m["text"], ratios) >= threshold(m["text"], ratios, least_ratio))
     return df.select("doc_id", "base", found.alias("found"))
 
 
