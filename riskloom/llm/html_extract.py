@@ -5,7 +5,9 @@ weight: what can't be article text (scripts, menus, forms, adverts, comments and
 id) weighs nothing, lines in an ``article`` or ``main`` element weigh more and, on a page that has one, lines beside it weigh
 less. Sizes are summed over sliding windows of ``WINDOW`` lines. A surge is where a window's sum first reaches the surge
 threshold, led back over lines before it that are no dive themselves; a dive is where a window's sum falls below the dive
-threshold. The main text is the text between surges and dives, but for stretches whose greatest window is poor next to that of the richest one. Lines that weigh nothing give no text.
+threshold. The main text is the text between surges and dives, but for stretches whose greatest window is poor next to that of
+the richest one. Names weigh only: menus, adverts and comments beside an article go because no stretch reaches them; a line that
+weighs nothing amid an article's own lines, or on a page without an article, is a dive by itself.
 """
 
 from __future__ import annotations
@@ -33,7 +35,10 @@ IN_ARTICLE, PLAIN, BESIDE_ARTICLE = 4.0, 1.0, 0.03
 MOST_INLINE = 16
 
 _NAME = r"[a-zA-Z][^\s/>]*+"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)({_NAME})((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)({_NAME})([^>]*)>|<[!?][^>]*(?:>|\Z)", re.S)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)({_NAME})|<[!?][^>]*(?:>|\Z)", re.S)
+#: What follows a tag's name: with quoted values, or up to the first > where the quotes don't close.
+_QUOTED, _PLAIN = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"), re.compile(r"([^>]*)>")
+_SPECIAL = re.compile("[>\"']")
 _UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([a-zA-Z-]+)")
 
@@ -86,6 +91,34 @@ class _Open(NamedTuple):
     in_link: bool
 
 
+class _Quotes:
+    """Whether a tag's quotes close before a > ends it. What is found out from one place holds for all places on the way, so a page is
+    looked through once for each kind of quote, however many tags stay open."""
+
+    def __init__(self, page: str, end: int) -> None:
+        self.page, self.end, self.known = page, end, {}
+        self.last = {q: page.rfind(q, 0, end) for q in "\"'"}
+
+    def close(self, at: int) -> bool:
+        passed = []
+        while True:
+            m = _SPECIAL.search(self.page, at, self.end)
+            if not m or m[0] == ">":
+                found = m is not None
+                break
+            k = m.start()
+            if k in self.known:
+                found = self.known[k]
+                break
+            passed.append(k)
+            if k >= self.last[m[0]]:
+                found = False
+                break
+            at = self.page.index(m[0], k + 1) + 1
+        self.known.update(dict.fromkeys(passed, found))
+        return found
+
+
 def lines_of(page: str) -> list[Line]:
     """The blocks in page order, in time linear in the page."""
     lines: list[Line] = []
@@ -94,6 +127,7 @@ def lines_of(page: str) -> list[Line]:
     stack: list[_Open] = []
     names = [Counter()]  # of the open elements inside each barrier
     last_end = page.rfind(">")
+    quotes = _Quotes(page, last_end + 1)
 
     def flush() -> None:
         nonlocal links
@@ -131,12 +165,17 @@ def lines_of(page: str) -> list[Line]:
     while at <= last_end and (m := _TOKEN.search(page, at, last_end + 1)):
         text_at(at, m.start())
         at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        name = (m[2] or "").lower()
         if not name:
             if m.end() > last_end and not m[0].endswith(">"):  # a comment or declaration without an end
                 at = len(page)
             continue
-        if m[1] or m[4]:
+        closing, rest = m[1], (_QUOTED if quotes.close(at) else _PLAIN).match(page, at, last_end + 1)
+        if not rest:  # no > is left
+            text_at(m.start(), at)
+            break
+        raw, at = rest[1], rest.end()
+        if closing:
             if names[-1][name] > 0 or (name in BARRIERS or name == "html") and any(c[name] > 0 for c in names):
                 pop_to(next(k for k in range(len(stack) - 1, -1, -1) if stack[k].name == name))
             elif name in ("p", "br"):
@@ -154,7 +193,6 @@ def lines_of(page: str) -> list[Line]:
                     break
                 if stack[k].name not in INLINE and stack[k].name != "p":
                     break
-        raw = m[3] if m[2] else m[6]
         if name in VOID or name in INLINE and raw.rstrip().endswith("/"):
             continue
         over = stack[-1] if stack else _Open("", False, False, False)
@@ -197,11 +235,12 @@ def stretches(sizes: list[float]) -> list[tuple[int, int]]:
 
 
 def main_text(page: str | None) -> str:
-    """The main text; empty for null, empty and textless pages."""
+    """The main text; empty for null, empty and textless pages. Beside an article names only weigh: what stands there goes as no
+    stretch reaches it. A marked line amid the article's own, or on a page without an article, is a dive of one line."""
     lines = lines_of(page or "")
-    sizes = weighted_sizes(lines)
-    kept = (lines[i] for a, b in stretches(sizes) for i in range(a, b))
-    return " ".join(x.text for x in kept if not x.dropped and (x.in_article or x.links < len(x.text)))
+    held = any(x.in_article and not x.dropped for x in lines)
+    kept = (lines[i] for a, b in stretches(weighted_sizes(lines)) for i in range(a, b))
+    return " ".join(x.text for x in kept if not (x.dropped and (x.in_article or not held)) and (x.in_article or x.links < len(x.text)))
 
 
 def extract(pages: DataFrame) -> DataFrame:
