@@ -130,3 +130,41 @@ def test_models(spark, tmp_path):
     vec = df.selectExpr("node_id", "array(x, y) as vec", "label")
     _, losses = models.train_head(vec, 8)
     assert losses[-1] < losses[0]
+
+
+def partitions(items):
+    if not items:
+        yield []
+        return
+    for rest in partitions(items[1:]):
+        yield [[items[0]], *rest]
+        for k in range(len(rest)):
+            yield [*rest[:k], [items[0], *rest[k]], *rest[k + 1 :]]
+
+
+def quality_of(pairs, parts):
+    of = {n: k for k, p in enumerate(parts) for n in p}
+    m = 2 * len(pairs)
+    degree = {}
+    for a, b in pairs:
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    inside = sum(2 for a, b in pairs if of[a] == of[b]) / m
+    return inside - sum(sum(degree[n] for n in p) ** 2 for p in parts) / m**2
+
+
+def test_communities_are_connected_and_near_the_best(spark):
+    rng = np.random.default_rng(6)
+    for _ in range(2):
+        pairs = sorted({tuple(sorted(map(str, e))) for e in rng.integers(0, 8, (14, 2)).tolist() if e[0] != e[1]})
+        g = graph(spark, *pairs)
+        parts = ga.communities(g)
+        best = max(quality_of(pairs, p) for p in partitions(sorted({n for e in pairs for n in e})))
+        assert ga.modularity(g, parts) >= 0.9 * best - 1e-9
+        assert sorted(map(tuple, ga.connected_parts(g, parts).collect())) == sorted(map(tuple, parts.collect()))
+
+
+def test_disconnected_communities_are_cut(spark):
+    g = graph(spark, ("a", "b"), ("c", "d"), ("b", "x"), ("x", "c"), *[(f"l{k}", f"l{k + 1}") for k in range(30)])
+    parts = spark.createDataFrame([(n, "one") for n in "abcd"] + [("x", "two")] + [(f"l{k}", "line") for k in range(31)], "node_id string, community string")
+    got = found(ga.connected_parts(g, parts), "community")
+    assert [got[n] for n in "abcdx"] == ["a", "a", "c", "c", "x"] and {got[f"l{k}"] for k in range(31)} == {"l0"}

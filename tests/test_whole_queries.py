@@ -11,13 +11,13 @@ SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 def test_distance_to_every_seed(spark):
-    met = defaultdict(set)
+    met = defaultdict(list)
     for r in adapters.claims(spark, MIDDLE, "beneficiary_id").select("provider_npi", "beneficiary_id", "date_of_service").collect():
-        met[r.beneficiary_id, r.date_of_service].add(r.provider_npi)
+        met[r.beneficiary_id].append((r.provider_npi, r.date_of_service))
     near = defaultdict(set)
     for group in met.values():
-        for p in group:
-            near[p] |= group - {p}
+        for p, t in group:
+            near[p] |= {q for q, u in group if abs(u - t) <= timedelta(days=30)} - {p}
     seeds = {r.entity_npi for r in adapters.exclusions(spark, MIDDLE).collect()}
     depth = dict.fromkeys(seeds, 0)
     queue = deque(seeds)
