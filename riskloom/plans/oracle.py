@@ -160,6 +160,8 @@ def oracle_sql() -> dict[str, str]:
         "metapath_graph": f"{BASE}, s as ({EDGE_SQL['shares_bank']}) select distinct a.src, b.src as dst, 2.0::double as weight from s a join s b on a.dst = b.dst and a.src < b.src",
         "provider_projection": f"{BASE},{GRAPH} select src, dst, w as weight from graph",
         "degree_centrality": f"{BASE},{_co_bills(GRAPH_WINDOW)}, every as (select distinct edge_type, src, dst from co_bills union all select distinct 'OWNED_BY', provider_npi, owner_id from ownership), ends as (select edge_type, src as node_id from every union all select edge_type, dst from every), d as (select edge_type, node_id, count(*) as k from ends group by 1, 2) select edge_type, node_id, round(cast(k as double) / (count(*) over (partition by edge_type) - 1), 9) as degree_centrality from d",
+        "assembled_features": f"{BASE},{UPCODING},{IMPOSSIBLE},{GRAPH}, d as (select src as provider_npi, count(*) as degree from graph group by 1) select npi as node_id, coalesce(columns(* exclude (provider_npi, npi)), 0) from (select npi from providers) left join upcoding on npi = upcoding.provider_npi left join impossible on npi = impossible.provider_npi left join d on npi = d.provider_npi",
+        "class_weights": f"{BASE}, rows as (select npi as node_id, cast(npi in (select entity_npi from exclusions) as bigint) as label from providers) select node_id, label, round(case when label = 1 then cast(count(*) filter (label = 0) over () as double) / sum(label) over () else 1 end, 9) as weight from rows",
         "degree": f"{BASE},{GRAPH} select src as node_id, count(*) as degree from graph group by 1",
         "personalized_pagerank": f"{BASE},{GRAPH},{RESTART},{PPR} select node_id, round(score, 9) as score from ppr",
         "random_walk_restart": f"{BASE},{GRAPH},{RESTART},{RWR} select node_id, round(score, 9) as score from rwr",

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions import columns, privacy
-from riskloom.operators import claim_features, embeddings, graph_algorithms, graph_build, models, ranking, validation
+from riskloom.operators import claim_features, embeddings, graph_algorithms, graph_build, models, network, ranking, validation
 from riskloom.sources import adapters, tables
 
 SALT = "public test salt"
@@ -532,6 +532,31 @@ def trained_network(spark, sf):
     return models.train_network(features, _co_billing(spark, sf).select("src", "dst", "edge_type"), df.select("node_id", "label"), epochs=5)[1]
 
 
+@query
+def sampled_network(spark, sf):
+    """Scores of a network of three layers, trained on sampled neighbourhoods in mini-batches."""
+    df = _labelled(spark, sf)
+    features = df.select("node_id", F.array(F.log1p("total_claims"), "weekend_ratio", "high_value_ratio", F.lit(1.0)).alias("vec"))
+    return network.train(features, _co_billing(spark, sf).select("src", "dst", "edge_type"), df.select("node_id", "label"), sizes=(8, 8, 4), fanout=3, batches=2, epochs=3)[1]
+
+
+@query
+def assembled_features(spark, sf):
+    """Baseline scores of all providers with claim and graph features beside them, 0 where one knows no value."""
+    claims = _claims(spark, sf, "procedure_code")
+    rename = lambda df: df.withColumnRenamed("provider_npi", "node_id")
+    base = adapters.providers(spark, sf).select(F.col("npi").alias("node_id"))
+    return shaped(models.assemble(base, rename(claim_features.upcoding_features(claims)), rename(claim_features.impossible_days(claims)), graph_algorithms.degree(_projection(spark, sf))))
+
+
+@query
+def class_weights(spark, sf):
+    """The weight of each provider's row in training, seeds against others."""
+    seeds = _seeds(spark, sf).distinct().withColumn("label", F.lit(1))
+    rows = adapters.providers(spark, sf).select(F.col("npi").alias("node_id")).join(seeds, "node_id", "left").fillna(0, ["label"])
+    return shaped(models.with_weights(rows))
+
+
 @query
 def embedding_ensemble(spark, sf):
     return embeddings.ensemble(_projection(spark, sf))
