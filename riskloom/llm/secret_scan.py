@@ -25,7 +25,8 @@ SMOOTHING = 0.5
 #: Least ratio at any length, itself and as a share of the random samples' mean, and deviations below that mean that still count.
 LEAST_RATIO, LEAST_SHARE, DEVIATIONS = 0.35, 0.32, 3.0
 #: Tokens that are looked at: of LEAST_LENGTH characters or more, with a letter, as numbers alone are cards and counts.
-CANDIDATE, LEAST_LENGTH = r"[A-Za-z0-9+/_-]++(?:\.[A-Za-z0-9+/_-]++)*+", 16
+LEAST_LENGTH = 16
+CANDIDATE = rf"(?=[A-Za-z0-9+/_.-]{{{LEAST_LENGTH}}})[A-Za-z0-9+/_-]++(?:\.[A-Za-z0-9+/_-]++)*+"
 TRAINING_ROWS = 4000
 #: Elements of a block of running sums.
 BLOCK = 128
