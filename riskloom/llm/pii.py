@@ -43,16 +43,18 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
+_DOUBLED = {str(d): d * 2 - 9 * (d > 4) for d in range(10)}
+
+
 def luhn(digits: str) -> bool:
-    total = 0
-    for k, c in enumerate(reversed(digits)):
-        d = ord(c) - 48
-        total += d if k % 2 == 0 else d * 2 - 9 * (d > 4)
-    return total % 10 == 0
+    return (sum(map(int, digits[::-2])) + sum(map(_DOUBLED.__getitem__, digits[-2::-2]))) % 10 == 0
+
+
+_NO_DIGITS = re.compile(r"[^0-9]+")
 
 
 def _digits(text: str) -> str:
-    return "".join(c for c in text if "0" <= c <= "9")
+    return _NO_DIGITS.sub("", text)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -87,6 +89,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # -- tokens, candidates and features
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]", re.ASCII)
+#: What stands between the two sides of an address; an entity holds one at most.
+_AT = re.compile(r"@|\[[Aa][Tt]\]|\([Aa][Tt]\)")
 _TRIGGER = re.compile(r"[0-9@]|[\[(][Aa][Tt][\])]")
 _CUES = {
     "email": "mail email contact write reach",
@@ -138,7 +142,7 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[s
         parts = re.split(r"@|\s*[\[(]at[\])]\s*", span, flags=re.I)
         out += ["at", f"at parts={len(parts)}", f"words left={len(parts[0].split())}", f"dot after={bool(re.search(r'\.|[\[(]dot[\])]', parts[-1], re.I))}", f"blank in={' ' in span and '[' not in span and '(' not in span}"]
     else:
-        letters = sum(c.isalpha() for c in span)
+        letters = sum(map(str.isalpha, span))
         out += [f"luhn={len(digits) >= 13 and luhn(digits)}", f"letters={min(letters, 6)}"]
         if re.fullmatch(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{2,4}){3,8}", span):
             out.append(f"iban={_iban(span)}")
@@ -155,7 +159,28 @@ def _iban(span: str) -> bool:
 
 
 def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, list[str]]]:
-    return [(i, j, f) for i in range(len(tokens)) for j in range(i + 1, min(len(tokens), i + MOST_TOKENS) + 1) if (f := features(text, tokens, i, j))]
+    """Segments that may be an entity, with their features. Which tokens may begin or end one, and how many digits and at-signs a
+    stretch of them holds, is known beforehand, so that features are made only for segments with both ends and something inside."""
+    n = len(tokens)
+    begins = [(text[a].isalnum() or text[a] in "+(") and not text[a - 1 : a].isalnum() for a, _ in tokens]
+    ends = [text[b - 1].isalnum() and not text[b : b + 1].isalnum() for _, b in tokens]
+    digits = [0]
+    for a, b in tokens:
+        digits.append(digits[-1] + (b - a if "0" <= text[a] <= "9" else 0))
+    # At-signs that lie in a segment: those that end by its end, less those that begin before its start.
+    signs = [m.span() for m in _AT.finditer(text, tokens[0][0], tokens[-1][1])] if tokens else []
+    ended = np.searchsorted([e for _, e in signs], [b for _, b in tokens], "right").tolist()
+    begun = np.searchsorted([s for s, _ in signs], [a for a, _ in tokens], "left").tolist()
+    out = []
+    for i in range(n):
+        if not begins[i]:
+            continue
+        for j in range(i + 1, min(n, i + MOST_TOKENS) + 1):
+            if tokens[j - 1][1] - tokens[i][0] > MOST_CHARS or ended[j - 1] - begun[i] > 1 or j > i + 1 and "\n" in text[tokens[j - 2][1] : tokens[j - 1][0]]:
+                break
+            if ends[j - 1] and (ended[j - 1] > begun[i] or digits[j] - digits[i] >= 7) and (f := features(text, tokens, i, j)):
+                out.append((i, j, f))
+    return out
 
 
 # -- training

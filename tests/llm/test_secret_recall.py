@@ -70,3 +70,18 @@ def test_running_values(spark):
             want.append(total)
             total += k % 7
         assert got == want
+
+
+def test_candidates_are_all_that_features_allow():
+    """The ends and contents that are asked beforehand lose no segment, but those of several at-signs."""
+    from riskloom.llm import pii
+
+    rng = random.Random(3)
+    pieces = ["a@b", "12", "(at)", "[AT]", "x.y", "+1 (555) 123-4567", "\n", " ", ", ", "é", "٣", "1234567", "#", "john", "DE44 5001", "@", "[at)"]
+    for _ in range(200):
+        text = "".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randint(1, 14)))
+        tokens = pii.tokens_of(text, 0, len(text))
+        got = {(i, j) for i, j, _ in pii.candidates(text, tokens)}
+        want = {(i, j) for i in range(len(tokens)) for j in range(i + 1, min(len(tokens), i + pii.MOST_TOKENS) + 1) if pii.features(text, tokens, i, j)}
+        few = {(i, j) for i, j in want if len(pii._AT.findall(text[tokens[i][0] : tokens[j - 1][1]])) <= 1}
+        assert got == few, text
