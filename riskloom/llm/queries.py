@@ -161,7 +161,8 @@ from turns t join shown s on s.conv_id is not distinct from t.conv_id group by 1
 
 
 def _codes_sql() -> str:
-    parts, most, n = vector_codes.PARTS, vector_codes.MOST, vector_codes.ENTRIES
+    parts, n = vector_codes.PARTS, vector_codes.ENTRIES
+    most = "cast(power(2, (61 - cast(ceil(log2(greatest(w, 1))) as int)) // 2 - 1) as bigint)"
     apart = "list_dot_product(a.v, a.v) - 2 * list_dot_product(a.v, b.v) + list_dot_product(b.v, b.v)"
     steps = [
         "v as (select row_number() over () as id, vec_id, label, embedding as x from embeddings where embedding is not null and not list_contains(list_transform(embedding, lambda y: y is null or not isfinite(y)), true))",

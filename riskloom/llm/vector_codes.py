@@ -9,6 +9,7 @@ integers, so that any order of adding gives the same codebooks. Nothing but entr
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -21,12 +22,18 @@ from riskloom.llm.common import written
 
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
 LEAF = 16
-#: Components beyond it, either way, count as it; squared distances and sums then fit 64 bits.
-MOST = 1 << 24
+#: Beyond all components, see :func:`limit`.
+MOST = 1 << 30
 #: Parts that a search holds at a time.
 SEARCH_ROWS = 8192
 
 
+def limit(width: int) -> int:
+    """The greatest component, either way, of parts of so many: beyond it components count as it, so that squared distances fit 64
+    bits. For parts of 16 it is 2^27."""
+    return 1 << (61 - math.ceil(math.log2(max(1, width)))) // 2 - 1
+
+
 @dataclass(frozen=True)
 class Tree:
     """A kd-tree's node: bounds of its points, and two children or a leaf's points with their indexes in the codebook."""
@@ -99,7 +106,8 @@ def integers(column: pa.Array, width: int, scale: int = SCALE, parts: int = PART
     """rows x parts x width of floors of ``scale`` times the components; missing ones are 0, as all vectors are as long as the longest."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = np.clip(np.floor(column.flatten().to_numpy(zero_copy_only=False) * float(scale)), -MOST, MOST).astype(np.int64)
+    most = limit(width)
+    flat = np.clip(np.floor(column.flatten().to_numpy(zero_copy_only=False) * float(scale)), -most, most).astype(np.int64)
     out = np.zeros((len(column), parts * width), dtype=np.int64)
     if len(lengths) and (lengths == parts * width).all():
         out[:] = flat.reshape(out.shape)
@@ -189,7 +197,7 @@ def compress(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     whose vector is neither null nor holds null, NaN or an infinity.
 
     Repeated rows and ids are rows each; null ids stay, as the last ones; other columns are ignored; vectors shorter than the longest,
-    empty ones too, end in zeros; components are limited to 2^24 either way. An empty table gives no rows.
+    empty ones too, end in zeros; components have a :func:`limit`. An empty table gives no rows.
     """
     rows = kept(vectors, id_col, vector_col, label_col)
     books = fit(rows)

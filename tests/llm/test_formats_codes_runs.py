@@ -179,6 +179,15 @@ def test_codes_against_brute_force(spark):
     assert sorted((str(r.vec_id), r.code, r.error, r.label_error, r.codebooks_sha256) for r in found) == brute_codes(good)
 
 
+def test_large_components_are_exact(spark):
+    good, _ = made_vectors(np.random.default_rng(9), 300)
+    good = [(i, [v * 5e4 for v in x], *r) for i, x, *r in good if i is not None]
+    assert max(abs(v) for _, x, *_ in good for v in x) * 1024 < vector_codes.limit(2)
+    found = vector_codes.compress(spark.createDataFrame(good, VECTORS)).collect()
+    assert sorted((str(r.vec_id), r.code, r.error, r.label_error, r.codebooks_sha256) for r in found) == brute_codes(good)
+    assert vector_codes.limit(16) == 1 << 27 and all((2 * vector_codes.limit(w)) ** 2 * w < 1 << 63 for w in range(1, 5000))
+
+
 def test_codes_edge_cases(spark):
     make = lambda rows: spark.createDataFrame([(*r, None, None, None) for r in rows], VECTORS)
     assert vector_codes.compress(make([(1, None, 1)])).isEmpty() and vector_codes.compress(make([])).isEmpty()
