@@ -8,7 +8,6 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from riskloom.llm import chat_format, periodic, queries, vector_codes
@@ -288,11 +287,3 @@ def test_periodic_scan(spark):
     assert got == sorted("Row(" + ", ".join(f"{c}={v!r}" for c, v in zip(names, r, strict=True)) + ")" for r in want)
     assert any(r[1] for r in want if r[0] and r[0] >= 1000)
     assert periodic.scan(df.limit(0)).isEmpty()
-
-
-@pytest.mark.parametrize("name", ["op11_chat", "op12_codes", "op13_periodic"])
-def test_queries_cover_their_tables(spark, name):
-    of = {"op11_chat": ("conversations", "conv_id", 1), "op12_codes": ("embeddings", "vec_id", 0), "op13_periodic": ("documents", "doc_id", 0)}
-    table, key, more = of[name]
-    found = queries.queries()[name](spark, DATA)
-    assert found.count() == spark.read.parquet(f"{DATA}/{table}.parquet").select(key).distinct().count() + more
